@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.functions import geo
+from emberlake.operators.stage import spread
 
 AS_OF = "2024-01-31 00:00:00"
 BASE_US = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC
@@ -158,7 +159,9 @@ def ctes(*names: str) -> str:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Adapter as a DataFrame over the parquet files of ``sf_dir``."""
     tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}
-    return spark.sql(ALL[name].format(**SPARK, **tables))
+    df = spark.sql(ALL[name].format(**SPARK, **tables))
+    # Text work per row is heavy; a single-split file would keep it on one core.
+    return spread(df) if name == "publications" else df
 
 
 def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

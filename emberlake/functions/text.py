@@ -36,18 +36,24 @@ def accent_table() -> tuple[str, str]:
 
 
 def strip_accents(col: Column) -> Column:
-    """NFKD without combining marks; long expansions are only paid for when present."""
+    """NFKD without combining marks; plain ASCII text is returned as it is."""
     source, target = accent_table()
-    out = F.regexp_replace(F.translate(col, source, target), COMBINING, "")
-    expanded = out
+    expanded = col
     for char in EXPANSIONS:
         expanded = F.replace(expanded, F.lit(char), F.lit(unicodedata.normalize("NFKD", char)))
-    return F.when(out.rlike(f"[{EXPANSIONS}]"), expanded).otherwise(out)
+    wide = F.when(col.rlike(f"[{EXPANSIONS}]"), expanded).otherwise(col)
+    return F.when(
+        col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(wide, source, target), COMBINING, "")
+    ).otherwise(col)
+
+
+# Every whitespace character, spelled out: the Unicode class flag is several times slower.
+SPACES = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def collapse(col: Column) -> Column:
     """Whitespace runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col, SPACES, " "))
 
 
 def normalize(col: Column) -> Column:
@@ -88,15 +94,19 @@ def incident_hashtags(text: Column) -> Column:
     )
 
 
-def event_type(normalized: Column, has_fire_tag: Column) -> Column:
-    """Event class of a normalized text; fire hashtags fill an otherwise empty class."""
+def event_class(normalized: Column) -> Column:
+    """Event class of a normalized text; texts about the alert channel only match alert classes."""
     alerts = {k: v for k, v in fixed.EVENT_TERMS.items() if k.startswith("es_alert_")}
     other = "other_emergency_update"
-    base = F.when(
-        F.contains(normalized, F.lit("es-alert")), first_rule(normalized, alerts, other)
-    ).otherwise(first_rule(normalized, fixed.EVENT_TERMS, other))
+    return F.when(F.contains(normalized, F.lit("es-alert")), first_rule(normalized, alerts, other)).otherwise(
+        first_rule(normalized, fixed.EVENT_TERMS, other)
+    )
+
+
+def fire_filled(event: Column, normalized: Column, has_fire_tag: Column) -> Column:
+    """Fire hashtags fill an otherwise empty event class."""
     fire = has_fire_tag | F.contains(normalized, F.lit("#iiff"))
-    return F.when(fire & (base == other), "firefighting_update").otherwise(base)
+    return F.when(fire & (event == "other_emergency_update"), "firefighting_update").otherwise(event)
 
 
 def risk_type(normalized: Column, has_fire_tag: Column) -> Column:
@@ -142,9 +152,11 @@ def language(normalized: Column) -> Column:
 
 def instructions(text: Column) -> Column:
     """Sentences that tell people what to do, joined, at most 4000 characters."""
-    sentences = F.split(text, r"(?<=[.!?])\s+|[\r\n]+")
-    kept = F.filter(sentences, lambda s: contains_any(normalize(s), fixed.INSTRUCTION_TERMS))
-    joined = F.array_join(F.transform(kept, F.trim), " ")
+    sentences = F.transform(
+        F.split(text, r"(?<=[.!?])\s+|[\r\n]+"), lambda s: F.struct(F.trim(s).alias("raw"), normalize(s).alias("plain"))
+    )
+    kept = F.filter(sentences, lambda s: contains_any(s["plain"], fixed.INSTRUCTION_TERMS))
+    joined = F.array_join(F.transform(kept, lambda s: s["raw"]), " ")
     return F.nullif(F.substring(joined, 1, 4000), F.lit(""))
 
 

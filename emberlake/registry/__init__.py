@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["civil", "quality"]
+MODULES = ["civil", "quality", "osint"]
 
 
 def _merged(attribute: str) -> dict:
