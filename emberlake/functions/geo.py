@@ -65,6 +65,14 @@ def bbox(geom: Column) -> Column:
     )
 
 
+def bbox_gap_m(a: Column, b: Column) -> Column:
+    """Lower bound of the metres between anything inside two bounding boxes."""
+    dx = F.greatest(b["xmin"] - a["xmax"], a["xmin"] - b["xmax"], F.lit(0.0))
+    dy = F.greatest(b["ymin"] - a["ymax"], a["ymin"] - b["ymax"], F.lit(0.0))
+    steepest = F.greatest(F.abs(a["ymin"]), F.abs(a["ymax"]), F.abs(b["ymin"]), F.abs(b["ymax"]))
+    return F.hypot(dx * F.cos(F.radians(steepest)), dy) * (fixed.METERS_PER_DEGREE * 0.999)
+
+
 def is_areal(geom: Column) -> Column:
     return geom["kind"].isin("POLYGON", "MULTIPOLYGON", "GEOMETRYCOLLECTION")
 
@@ -146,7 +154,8 @@ def edges_cross(e: Column, f: Column) -> Column:
     return (_side(e, f["a"]) * _side(e, f["b"]) < 0) & (_side(f, e["a"]) * _side(f, e["b"]) < 0)
 
 
-def intersects(a: Column, b: Column) -> Column:
+def overlaps(a: Column, b: Column) -> Column:
+    """A vertex of one inside the other, or two edges crossing (mere touching not included)."""
     ba, bb = bbox(a), bbox(b)
     near = (
         (ba["xmin"] <= bb["xmax"]) & (bb["xmin"] <= ba["xmax"]) & (ba["ymin"] <= bb["ymax"]) & (bb["ymin"] <= ba["ymax"])
@@ -155,7 +164,11 @@ def intersects(a: Column, b: Column) -> Column:
         points(b), lambda p: in_geometry(p["x"], p["y"], a)
     )
     crossing = F.exists(all_edges(a), lambda e: F.exists(all_edges(b), lambda f: edges_cross(e, f)))
-    return near & (inside | crossing | (vertex_gap_m(a, b) == 0))
+    return near & (inside | crossing)
+
+
+def intersects(a: Column, b: Column) -> Column:
+    return overlaps(a, b) | (vertex_gap_m(a, b) == 0)
 
 
 def intersects_box(geom: Column, west: float, south: float, east: float, north: float) -> Column:
@@ -182,7 +195,7 @@ def vertex_gap_m(a: Column, b: Column) -> Column:
 
 def geometry_distance_m(a: Column, b: Column) -> Column:
     """Zero when the geometries meet, else the smallest vertex-to-edge distance."""
-    return F.when(intersects(a, b), 0.0).otherwise(vertex_gap_m(a, b))
+    return F.when(overlaps(a, b), 0.0).otherwise(vertex_gap_m(a, b))
 
 
 def degrees_between(a: Column, b: Column) -> Column:

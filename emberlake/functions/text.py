@@ -75,12 +75,22 @@ def contains_any(col: Column, terms: Iterable[str]) -> Column:
     return functools.reduce(lambda a, b: a | b, [F.contains(col, F.lit(t)) for t in terms])
 
 
-def first_rule(col: Column, rules: dict[str, list[str]], default: str) -> Column:
-    """Name of the first rule with a term inside ``col``."""
-    out = F
-    for name, terms in rules.items():
-        out = out.when(contains_any(col, [plain(t) for t in terms]), name)
-    return out.otherwise(F.lit(default))
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _any_sql(column: str, terms: Iterable[str]) -> str:
+    return " OR ".join(f"contains(`{column}`, {_quoted(plain(t))})" for t in terms)
+
+
+def _rules_sql(column: str, rules: dict[str, list[str]], default: str) -> str:
+    cases = " ".join(f"WHEN {_any_sql(column, terms)} THEN '{name}'" for name, terms in rules.items())
+    return f"CASE {cases} ELSE '{default}' END"
+
+
+def first_rule(column: str, rules: dict[str, list[str]], default: str) -> Column:
+    """Name of the first rule with a term inside the named text column."""
+    return F.expr(_rules_sql(column, rules, default))
 
 
 def incident_hashtags(text: Column) -> Column:
@@ -94,12 +104,12 @@ def incident_hashtags(text: Column) -> Column:
     )
 
 
-def event_class(normalized: Column) -> Column:
-    """Event class of a normalized text; texts about the alert channel only match alert classes."""
+def event_class(column: str) -> Column:
+    """Event class of a normalized text column; texts about the alert channel only match alert classes."""
     alerts = {k: v for k, v in fixed.EVENT_TERMS.items() if k.startswith("es_alert_")}
     other = "other_emergency_update"
-    return F.when(F.contains(normalized, F.lit("es-alert")), first_rule(normalized, alerts, other)).otherwise(
-        first_rule(normalized, fixed.EVENT_TERMS, other)
+    return F.when(F.contains(F.col(column), F.lit("es-alert")), first_rule(column, alerts, other)).otherwise(
+        first_rule(column, fixed.EVENT_TERMS, other)
     )
 
 
@@ -109,9 +119,9 @@ def fire_filled(event: Column, normalized: Column, has_fire_tag: Column) -> Colu
     return F.when(fire & (event == "other_emergency_update"), "firefighting_update").otherwise(event)
 
 
-def risk_type(normalized: Column, has_fire_tag: Column) -> Column:
-    fire = has_fire_tag | F.contains(normalized, F.lit("#iiff"))
-    return F.when(fire, "wildfire").otherwise(first_rule(normalized, fixed.RISK_TERMS, "other"))
+def risk_type(column: str, has_fire_tag: Column) -> Column:
+    fire = has_fire_tag | F.contains(F.col(column), F.lit("#iiff"))
+    return F.when(fire, "wildfire").otherwise(first_rule(column, fixed.RISK_TERMS, "other"))
 
 
 def action_state(event: Column) -> Column:
@@ -134,20 +144,15 @@ def es_alert_evidence(event: Column, source_type: Column) -> Column:
     )
 
 
-def language(normalized: Column) -> Column:
-    """Language with most marker words; ties go to the earlier one, none is ``und``."""
-    padded = F.concat(F.lit(" "), normalized, F.lit(" "))
+def language(column: str) -> Column:
+    """Language of a normalized text column with most marker words; ties go to the earlier one, none is ``und``."""
     scores = {
-        lang: functools.reduce(
-            lambda a, b: a + b, [F.contains(padded, F.lit(f" {w} ")).cast("int") for w in words]
-        )
+        lang: "(" + " + ".join(f"CAST(contains(concat(' ', `{column}`, ' '), ' {w} ') AS INT)" for w in words) + ")"
         for lang, words in fixed.LANGUAGE_MARKERS.items()
     }
-    best = F.greatest(*scores.values())
-    out = F.when(best == 0, "und")
-    for lang, score in scores.items():
-        out = out.when(score == best, lang)
-    return out
+    best = f"greatest({', '.join(scores.values())})"
+    cases = " ".join(f"WHEN {score} = {best} THEN '{lang}'" for lang, score in scores.items())
+    return F.expr(f"CASE WHEN {best} = 0 THEN 'und' {cases} END")
 
 
 def instructions(text: Column) -> Column:
@@ -196,7 +201,9 @@ ARROW_PAIR = r"(?:✅\s*)?([^✅➡→\n:]{2,50}?)\s*(?:➡️?|→|->)\s*([^✅
 
 def arrow_side(text: Column, group: int) -> Column:
     """Distinct left (1) or right (2) sides of arrow pairs, in order."""
-    raw = F.regexp_extract_all(text, F.lit(ARROW_PAIR), F.lit(group))
+    raw = F.when(
+        text.rlike("➡|→|->"), F.regexp_extract_all(text, F.lit(ARROW_PAIR), F.lit(group))
+    ).otherwise(F.array().cast("array<string>"))
     trimmed = F.transform(raw, lambda v: F.btrim(v, F.lit(" ,;:-")))
     return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 

@@ -26,9 +26,9 @@ def classify_publications(df: DataFrame, title: str = "title", text: str = "body
         _tt=F.size(X.incident_hashtags(F.col(title))) > 0, _bt=F.size(X.incident_hashtags(F.col(text))) > 0,
     )
     rules = computed(
-        plain, _te=X.event_class(F.col("_tn")), _be=X.event_class(F.col("normalized_body")),
-        _tr=X.risk_type(F.col("_tn"), F.col("_tt")), _br=X.risk_type(F.col("normalized_body"), F.col("_bt")),
-        language=X.language(F.col("normalized_body")),
+        plain, _te=X.event_class("_tn"), _be=X.event_class("normalized_body"),
+        _tr=X.risk_type("_tn", F.col("_tt")), _br=X.risk_type("normalized_body", F.col("_bt")),
+        language=X.language("normalized_body"),
     )
     title_event = X.fire_filled(F.col("_te"), F.col("_tn"), F.col("_tt"))
     body_event = X.fire_filled(F.col("_be"), F.col("normalized_body"), F.col("_bt"))
