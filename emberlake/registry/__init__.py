@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["civil", "quality", "osint", "reconcile", "areas"]
+MODULES = ["civil", "quality", "osint", "reconcile", "areas", "roads", "feeds"]
 
 
 def _merged(attribute: str) -> dict:

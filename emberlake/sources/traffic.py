@@ -12,7 +12,7 @@ from emberlake.operators.stage import computed
 
 def _texts(name: str, xml: str = "xml") -> Column:
     found = F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?:\s[^>]*)?>([^<]*)</{name}>"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda t: t != "")
+    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def _text(*names: str) -> Column:
