@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,32 +56,36 @@ def append_run(spark: SparkSession, root: str, connector: str, started_at: str,
 
 
 class SnapshotTable:
-    """A table kept as numbered snapshot folders; the newest committed one is current.
+    """A table kept as numbered snapshot folders plus a small commit log.
 
-    A snapshot becomes visible through its ``_SUCCESS`` marker, so a failed write
-    leaves the last good state in place. One writer per table.
+    A snapshot becomes visible when its number is logged, after its files are
+    complete, so a failed write leaves the last good state in place. One writer per
+    table.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")) or []
-        return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
+    def version(self) -> int:
+        """Newest committed snapshot, 0 when there is none."""
+        try:
+            log = self.spark.read.schema("version int").parquet(f"{self.path}/log")
+            return log.agg(F.max("version")).first()[0] or 0
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
 
     def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
+        number = self.version()
+        return self.spark.read.parquet(f"{self.path}/data/v={number}") if number else None
 
     def write(self, df: DataFrame, cluster_by: list[str] | None = None) -> int:
-        """Write the next snapshot; rows are clustered so that later scans skip row groups."""
-        versions = self._versions()
-        number = versions[-1] + 1 if versions else 1
+        """Write and commit the next snapshot; clustering lets later scans skip row groups."""
+        number = self.version() + 1
         out = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
-        out.write.mode("overwrite").parquet(f"{self.path}/v={number}")
+        out.write.mode("overwrite").parquet(f"{self.path}/data/v={number}")
+        self.spark.range(1).select(F.lit(number).alias("version")).write.mode("append").parquet(f"{self.path}/log")
         return number
 
     def mutate(self, change: Callable[[DataFrame | None], DataFrame], allow_empty: bool = False) -> int | None:
