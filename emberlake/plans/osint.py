@@ -184,17 +184,17 @@ def incident_transitions(publications: DataFrame) -> DataFrame:
 def incident_versions(publications: DataFrame, incidents: DataFrame) -> DataFrame:
     """One version row per transition, numbered after the incident's stored version.
 
-    Numbers come from a running count inside day blocks plus the blocks before, so a
-    busy incident is spread over its days.
+    Numbers come from a running count inside hour blocks plus the blocks before, so a
+    busy incident is spread over its hours.
     """
     from pyspark.sql import Window
 
-    rows = publications.filter(F.col("incident_id").isNotNull()).withColumn("_day", F.to_date("published_at"))
-    per_day = rows.groupBy("incident_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("incident_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    in_day = Window.partitionBy("incident_id", "_day").orderBy("published_at", "id")
-    numbered = rows.withColumn("_rn", F.row_number().over(in_day)).join(offsets, ["incident_id", "_day"])
+    rows = publications.filter(F.col("incident_id").isNotNull()).withColumn("_hour", F.date_trunc("hour", "published_at"))
+    per_hour = rows.groupBy("incident_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("incident_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_hour.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    in_hour = Window.partitionBy("incident_id", "_hour").orderBy("published_at", "id")
+    numbered = rows.withColumn("_rn", F.row_number().over(in_hour)).join(offsets, ["incident_id", "_hour"])
     stored = incidents.select(F.col("id").alias("incident_id"), F.col("version").alias("_stored"))
     return numbered.join(stored, "incident_id", "left").select(
         "incident_id", (F.coalesce("_stored", F.lit(1)) + F.col("_before") + F.col("_rn")).alias("version"),
