@@ -110,10 +110,8 @@ def grid_spacing(pairs: DataFrame, angles: DataFrame) -> DataFrame:
     turned = pairs.join(angles, "group", "left").withColumn("angle", F.coalesce("angle", F.lit(0.0)))
     along = F.abs(F.col("dx") * F.cos("angle") + F.col("dy") * F.sin("angle"))
     across = F.abs(-F.col("dx") * F.sin("angle") + F.col("dy") * F.cos("angle"))
-    # Whole millimetres bound the distinct values, and with them the median's state per group.
-    rows = turned.select("group", F.round(along, 3).alias("h"), F.round(across, 3).alias("v"), "weight").groupBy("group", "h", "v").agg(
-        F.sum("weight").alias("weight")
-    )
+    # Equal spacings are counted before the median, whose state is one entry per distinct value.
+    rows = turned.select("group", along.alias("h"), across.alias("v"), "weight").groupBy("group", "h", "v").agg(F.sum("weight").alias("weight"))
     middle = lambda value, other: F.percentile(
         F.when((F.col(value) > 100) & (F.col(value) > F.col(other) * 1.8), F.col(value)), 0.5, F.col("weight").cast("long")
     )
