@@ -43,9 +43,6 @@ def sql_rules(col: str, rules: dict[str, list[str]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN {sql_any(col, t)} THEN '{n}'" for n, t in rules.items()) + f" ELSE '{default}' END"
 
 
-_TAG = "regexp_extract_all({0}, '(?:^|[^\\w])(#(?i:if)[\\wÀ-ÿ-]{{1,78}})', 1)"
-
-
 def sql_event(norm: str, tag: str) -> str:
     alerts = {k: v for k, v in fixed.EVENT_TERMS.items() if k.startswith("es_alert_")}
     base_rule = (
@@ -218,9 +215,6 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return base(spark, sf, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
-GAZETTEER = """SELECT DISTINCT regexp_extract(body, '^([A-Za-zÀ-ÿ]+)', 1) AS name FROM publications"""
-
-
 def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     """Place list: first word of every text, every commune, and turned article names."""
     pubs = load(spark, sf, "publications")
