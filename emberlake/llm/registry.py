@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "warc"]
+MODULES = ["sharding", "warc", "bpe"]
 
 
 def _merged(attribute: str) -> dict:
