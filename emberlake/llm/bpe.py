@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.common import small_batches
+
 #: Classes of code points and of code points in context.
 LETTER, NUMBER, OTHER, SPACE, BLANK, LAST_SPACE, LAST_BLANK, CLITIC1, CLITIC2, EDGE = range(10)
 #: States: a new piece must begin; in a run of letters, numbers, others; one space that joins
@@ -327,6 +329,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ``ids`` is binary, unsigned 32-bit little-endian; ``token_ends`` is left out on request.
     The rank file at ``path`` must be readable on every executor.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary" + ", token_ends array<long>" * offsets
 

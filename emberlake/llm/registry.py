@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "warc", "bpe"]
+MODULES = ["sharding", "warc", "bpe", "topk"]
 
 
 def _merged(attribute: str) -> dict:
