@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "warc", "bpe", "topk", "embedding_dedup", "mixing"]
+MODULES = ["language", "embedding_dedup", "sharding", "topk", "warc", "bpe", "mixing"]
 
 
 def _merged(attribute: str) -> dict:
