@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["language", "embedding_dedup", "sharding", "topk", "warc", "bpe", "html_text", "mixing"]
+MODULES = ["ngram_join", "language", "embedding_dedup", "sharding", "topk", "warc", "bpe", "html_text", "mixing"]
 
 
 def _merged(attribute: str) -> dict:
