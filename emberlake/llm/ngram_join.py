@@ -9,10 +9,10 @@ tree of the forest being a run of ``DEPTH`` of them: texts sorted by this run fo
 trie, and texts under one inner node share a prefix. Matching starts with whole runs and
 shortens them until a pair at the threshold meets in some tree with at least the target
 probability. Whole runs and shortened prefixes give tight clusters: each text is tied to
-the first text under its node where a sketch of 256 bits says they are much alike.
-Clusters only organise the work. Candidates are then all pairs inside a cluster and all
-pairs of clusters that meet under a shortened prefix and whose sketches leave a similarity
-of 0.8 possible; the sketch bound is over five standard deviations wide.
+the first text under its node where a sketch of 256 bits leaves a similarity of 0.8
+possible; the sketch bound is over five standard deviations wide. Clusters only organise
+the work. Candidates are then all pairs inside a cluster and all pairs of clusters that
+meet under a shortened prefix and whose sketches leave a link possible.
 
 Every candidate pair is verified on its exact shingle sets, in units of two chunks of texts
 by products of shingle matrices. A unit returns the number of links of each text and a
@@ -42,13 +42,16 @@ THRESHOLD = 0.8
 TREES, DEPTH = 32, 8
 HASHES = TREES * DEPTH
 TARGET_RECALL = 0.9999
-#: Differing bits of 256 for pairs that tie a cluster and for pairs that may still be links:
-#: similarity 0.8 differs in 25.6 bits with a deviation of 4.8.
-TIED_BITS, POSSIBLE_BITS = 38, 51
+#: Differing bits of 256 up to which two texts may be links: similarity 0.8 differs in 25.6 bits with a deviation of 4.8.
+POSSIBLE_BITS = 51
 #: Texts in a chunk: small while a cluster has few chunks, never more than the larger bound on average.
 SMALL_CHUNK, LARGE_CHUNK = 32, 128
 
 
+#: Candidate texts whose digests (32 bytes and an id each) are broadcast to fetch the texts.
+BROADCAST_ROWS = 500_000
+
+
 def depth_for(threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> int:
     """Longest prefix at which a pair at the threshold shares one in some tree with the target probability."""
     depth = DEPTH
@@ -169,7 +172,7 @@ def _ties(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     sketch = nodes.select("node", *_bits("b"))
     lead = sketch.toDF("lead", *_bits("c"))
     met = stars.join(sketch, "node").join(lead, "lead")
-    return met.filter(_differing("b", "c") <= TIED_BITS).select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    return met.filter(_differing("b", "c") <= POSSIBLE_BITS).select(F.col("node").alias("u"), F.col("lead").alias("v"))
 
 
 def _cluster_pairs(shared: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -263,28 +266,44 @@ def verify(texts: list[bytes], left: np.ndarray, right: np.ndarray, copies: np.n
     return links, forest(left[i], right[j], len(texts))
 
 
+def _chunked(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with the size ``m`` of their group, its number of ``chunks`` and their own ``chunk``."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.withColumn("chunks", F.ceil(F.col("m") / F.least(F.lit(LARGE_CHUNK), F.greatest(F.lit(SMALL_CHUNK), F.col("m") / 32))).cast("int"))
+    return rows.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+
 def _verified(members: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(node, links, root) from all pairs inside clusters and between paired clusters.
 
     ``members``: (cluster, node, copies). A unit is two chunks of the same or of two clusters.
     """
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.withColumn("chunks", F.ceil(F.col("m") / F.least(F.lit(LARGE_CHUNK), F.greatest(F.lit(SMALL_CHUNK), F.col("m") / 32))).cast("int"))
-    rows = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x")
-    inside = rows.filter("m > 1").select("node", "copies", F.col("cluster").alias("a"), F.col("cluster").alias("b"), "chunk", other).select(
-        "node", "copies", "a", "b", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), (F.col("chunk") > F.col("x")).alias("side")
+    rows = _chunked(members, "cluster")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x")
+    inside = rows.filter("m > 1").select("node", "copies", "cluster", "chunk", every).select(
+        "node", "copies", F.col("cluster").alias("a"), F.lit(False).alias("crossed"), F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"),
+        (F.col("chunk") > F.col("x")).alias("side"),
+    )
+    # Of two paired clusters the larger is the host; all texts paired with a host are its guests
+    # and share chunks, so a large cluster isn't repeated for every small one beside it.
+    size = rows.select("cluster", "m", "chunks").distinct()
+    both = pairs.join(size.select(F.col("cluster").alias("a"), F.col("m").alias("ma")), "a").join(size.select(F.col("cluster").alias("b"), F.col("m").alias("mb")), "b")
+    turned = F.col("mb") > F.col("ma")
+    hosts = both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("host"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("cluster"))
+    guests = _chunked(hosts.join(members, "cluster").select("host", "node", "copies"), "host")
+    tables = guests.select("host", F.col("chunks").alias("tables")).distinct()
+    first = rows.join(tables, F.col("cluster") == F.col("host")).select(
+        "node", "copies", F.col("host").alias("a"), F.lit(True).alias("crossed"), F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tables") - 1)).alias("j"), F.lit(False).alias("side")
+    )
+    second = guests.join(size.select(F.col("cluster").alias("host"), F.col("chunks").alias("places")), "host").select(
+        "node", "copies", F.col("host").alias("a"), F.lit(True).alias("crossed"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(True).alias("side")
     )
-    counts = sizes.select("cluster", "chunks")
-    both = pairs.join(counts.toDF("a", "na"), "a").join(counts.toDF("b", "nb"), "b")
-    first = rows.join(both, rows["cluster"] == both["a"]).select("node", "copies", "a", "b", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(False).alias("side"))
-    second = rows.join(both, rows["cluster"] == both["b"]).select("node", "copies", "a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(True).alias("side"))
     units = inside.unionByName(first).unionByName(second).join(texts, "node")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         side = frame["side"].to_numpy(bool)
         everything = np.arange(len(frame))
-        one = frame["a"].iat[0] == frame["b"].iat[0] and frame["i"].iat[0] == frame["j"].iat[0]
+        one = not frame["crossed"].iat[0] and frame["i"].iat[0] == frame["j"].iat[0]
         left, right = (everything, everything) if one else (everything[~side], everything[side])
         node, copies = frame["node"].to_numpy(np.int64), frame["copies"].to_numpy(np.int64)
         if not len(left) or not len(right):
@@ -293,7 +312,7 @@ def _verified(members: DataFrame, pairs: DataFrame, texts: DataFrame, threshold:
         at = np.flatnonzero(links)
         return pd.DataFrame({"node": node[at], "links": links[at], "root": node[label[at]]})
 
-    return units.groupBy("a", "b", "i", "j").applyInPandas(run, "node long, links long, root long")
+    return units.groupBy("a", "crossed", "i", "j").applyInPandas(run, "node long, links long, root long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,6 +344,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     members = clusters.union(lone.select("node", F.col("node").alias("cluster")))
     members = cut_lineage(members.join(nodes.select("node", "copies", "digest", "first_id"), "node"), "members")
     wanted = members.select("node", "digest", "first_id")
+    if wanted.count() <= BROADCAST_ROWS:  # else texts are shuffled by digest
+        wanted = F.broadcast(wanted)
     found = raw.join(wanted, (raw["digest"] == wanted["digest"]) & raw["doc_id"].eqNullSafe(wanted["first_id"]))
     texts = cut_lineage(found.select("node", "raw").dropDuplicates(["node"]), "member-texts")
     links = cut_lineage(_verified(members.select("cluster", "node", "copies"), pairs, texts, threshold), "links")
