@@ -73,7 +73,7 @@ def boundary_edges(pieces: DataFrame) -> DataFrame:
     )
 
 
-def chain_rings(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def chain_rings(edges: DataFrame) -> DataFrame:
     """Directed edges (g, s, e) to closed rings (g, ring).
 
     Each edge is first tied to the one edge that follows it (where two cells only
@@ -91,7 +91,7 @@ def chain_rings(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         {"low": F.least("id", "next"), "jump": F.lit(1).cast("long"), "at": F.when(F.col("next") < F.col("id"), F.lit(1)).otherwise(F.lit(0)).cast("long")}
     )
     state = cut_lineage(state, "ring-links")
-    for _ in range(max_rounds):
+    while True:
         ahead = state.select(
             "g", F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"), F.col("at").alias("far_at"), F.col("jump").alias("far_jump")
         )
@@ -101,10 +101,8 @@ def chain_rings(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             (F.col("jump") + F.col("far_jump")).alias("jump"), (F.col("far_low") < F.col("low")).alias("moved"),
         )
         state = cut_lineage(grown, "ring-links")
-        if not state.filter("moved").limit(1).count():
+        if not state.agg(F.count_if("moved")).first()[0]:
             break
-    else:
-        raise RuntimeError(f"rings did not close in {max_rounds} rounds")
     # ``at`` counts steps to the smallest edge, so descending order walks the ring from it.
     ring = F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("o"), F.col("id"))))
     rings = state.groupBy("g", "low").agg(ring.alias("r"))

@@ -180,7 +180,7 @@ def detection_areas(detections: DataFrame) -> DataFrame:
     placed = F.transform("parts", lambda rings: F.transform(rings, lambda ring: F.transform(ring, _to_lonlat)))
     kind = F.when(F.size("parts") == 1, "POLYGON").otherwise("MULTIPOLYGON")
     return full.select(
-        "group", F.concat(F.lit("firms-group-"), F.substring("first.id", 1, 16), F.lit("-"), F.col("detections").cast("string")).alias("id"),
+        "group", F.concat(F.lit("firms-"), F.md5(F.concat_ws("|", F.lit("group"), "family", "first.id", F.col("detections").cast("string")))).alias("id"),
         "family", "detections", "oldest_detection_at", "newest_detection_at", "cells",
         F.when(F.col("detections") > 1, "wildfire_detection_group").otherwise("fire_detection").alias("data_type"),
         F.when(F.col("detections") > 1, "firms_oriented_grid_union").otherwise("nasa_firms_pixel_square").alias("footprint_shape"),

@@ -20,7 +20,7 @@ def plans(raw: DataFrame) -> DataFrame:
     plan = F.coalesce(get("plaacronim"), get("planom"), F.lit("Proteccio Civil"))
     phase, url = get("plafase"), get("comunicatpdf.url")
     body = F.concat_ws("\n", get("descripcio"), F.concat(F.lit("Pla activat: "), get("plaactivat")), F.concat(F.lit("Comunicat oficial: "), url))
-    external = F.coalesce(own, F.substring(F.sha2(F.concat(F.lit("proteccio-civil|"), "row"), 256), 1, 16))
+    external = F.coalesce(own, F.sha2(F.concat(F.lit("proteccio-civil|"), "row"), 256))
     return rows.select(
         external.alias("external_id"), F.substring(F.concat_ws(" ", plan, phase), 1, 240).alias("title"), body.alias("body"),
         F.coalesce(url, F.lit("https://analisi.transparenciacatalunya.cat/d/wj9c-j6vf")).alias("url"), units.plan_level(phase).alias("severity"),

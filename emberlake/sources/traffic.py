@@ -27,7 +27,7 @@ def situations(raw: DataFrame) -> DataFrame:
     """(feed_url, situation_id, record_id, record_type, xml): situation records without namespace prefixes."""
     bare = raw.select("url", F.regexp_replace(F.regexp_replace("payload", r"(</?)\w+:", "$1"), r"\s(?:xmlns(?::\w+)?|\w+:schemaLocation)=\"[^\"]*\"", "").alias("doc"))
     one = bare.select("url", F.explode(F.regexp_extract_all("doc", F.lit(r"(?s)(<situation\b.*?</situation>)"), F.lit(1))).alias("s"))
-    sid = F.coalesce(F.nullif(F.regexp_extract("s", r"^<situation\b[^>]*\bid=\"([^\"]*)\"", 1), F.lit("")), F.substring(F.sha2(F.concat("url", F.lit("|"), "s"), 256), 1, 16))
+    sid = F.coalesce(F.nullif(F.regexp_extract("s", r"^<situation\b[^>]*\bid=\"([^\"]*)\"", 1), F.lit("")), F.sha2(F.concat("url", F.lit("|"), "s"), 256))
     rec = one.select("url", sid.alias("situation_id"), F.explode(F.regexp_extract_all("s", F.lit(r"(?s)(<situationRecord\b.*?</situationRecord>)"), F.lit(1))).alias("xml"))
     rid = F.coalesce(F.nullif(F.regexp_extract("xml", r"^<situationRecord\b[^>]*\bid=\"([^\"]*)\"", 1), F.lit("")), _text("situationRecordCreationReference"), F.col("situation_id"))
     typed = F.nullif(F.regexp_extract("xml", r"^<situationRecord\b[^>]*\b(?:\w+:)?type=\"(?:\w+:)?([^\"]*)\"", 1), F.lit(""))
@@ -100,7 +100,7 @@ def map_restrictions(raw: DataFrame) -> DataFrame:
     kind = F.coalesce(clean(F.col("tipoVialidad")), clean(F.col("causa")), F.lit("etraffic"))
     title = F.nullif(F.concat_ws(" - ", kind, clean(F.col("subtipoVialidad")), clean(F.col("carretera")), clean(F.col("provinciaIni"))), F.lit(""))
     everything = F.to_json(F.struct(*sorted(MAP_FIELDS)))
-    external = F.concat(F.lit("etraffic:"), F.coalesce(clean(F.col("id")), F.substring(F.sha2(everything, 256), 1, 16)))
+    external = F.concat(F.lit("etraffic:"), F.coalesce(clean(F.col("id")), F.sha2(everything, 256)))
     return lines.select(
         external.alias("external_id"), F.substring(F.coalesce(title, clean(F.col("causa")), F.lit("DGT eTraffic")), 1, 240).alias("title"), clean(F.col("carretera")).alias("road_ref"),
         kind.alias("kind"), "paths", F.get_json_object("geometria", "$.type").alias("geometry_type"), clean(F.col("causa")).alias("cause"), clean(F.col("subcausa")).alias("subcause"),
