@@ -55,9 +55,11 @@ def enrich_publications(df: DataFrame, gazetteer: DataFrame, boundaries: DataFra
     """
     classified, _ = discard_non_events(classify_publications(df))
     full = F.concat("title", F.lit(". "), "body")
+    # A copy read through a gateway names its original; both hash alike.
+    canonical = F.coalesce(F.col("canonical_url"), F.col("url")) if "canonical_url" in df.columns else F.col("url")
     hashed = F.when(F.col("body") == "", X.normalize(F.col("title"))).otherwise(F.col("normalized_body"))
     rows = computed(
-        classified, deduplication_hash=X.publication_hash(F.col("url"), hashed),
+        classified, deduplication_hash=X.publication_hash(canonical, hashed),
         administrative_context=X.arrow_side(full, 1), multi_incident_summary=F.size(X.arrow_side(full, 2)) > 1,
         instructions=X.instructions(F.col("body")), es_alert_message=X.es_alert_message(F.col("body")),
     )
@@ -94,8 +96,7 @@ def split_known(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFra
 def assign_to_incidents(publications: DataFrame, incidents: DataFrame, days: int = 7) -> DataFrame:
     """(pub_id, incident_id): newest incident of the same risk that shares a place, or two title words when no place is known.
 
-    Incidents older than ``days`` before the publication do not count. The join runs
-    on the shared keys inside two-window time slots.
+    Incidents older than ``days`` before the publication do not count.
     """
     as_words = lambda words: F.transform(words, lambda w: F.concat(F.lit("word:"), w))
     p = publications.select(
@@ -131,7 +132,7 @@ def new_incidents(publications: DataFrame, assigned: DataFrame) -> DataFrame:
     rows = publications.join(assigned.select(F.col("pub_id").alias("id")), "id", "left_anti")
     external = F.when(multi, F.concat(F.lit("osint-summary:"), "external_id")).otherwise(F.concat(F.lit("osint:"), "external_id"))
     return rows.select(
-        F.sha2(external, 256).alias("id"), F.substring(external, 1, 255).alias("external_id"), F.col("id").alias("opened_by"),
+        F.sha2(external, 256).alias("id"), external.alias("external_id"), F.col("id").alias("opened_by"),
         F.when(multi, F.concat(F.lit("Resum d'incendis - "), names)).otherwise(F.concat(X.risk_label(F.col("risk_type")), F.lit(" - "), place)).alias("title"),
         F.lit("active").alias("status"), F.col("title").alias("summary"), "risk_type", F.col("place_names").alias("affected_locations"),
         F.when(official, "official").otherwise("observed").alias("provenance"),
@@ -141,21 +142,27 @@ def new_incidents(publications: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def promote_witnesses(publications: DataFrame) -> DataFrame:
-    """Individual reports of an incident with three or more distinct authorities become multiple witnesses."""
-    eye = F.col("source_type").isin("individual", "multiple_witnesses")
-    counts = (
-        publications.filter(eye & F.col("incident_id").isNotNull()).groupBy("incident_id")
-        .agg(F.countDistinct("authority").alias("_witnesses")).filter(F.col("_witnesses") >= fixed.WITNESS_QUORUM)
-    )
-    joined = salted_join(publications, counts, ["incident_id"], F.col("id"), how="left")
-    hit = (F.col("source_type") == "individual") & F.col("_witnesses").isNotNull()
+    """Individual reports become multiple witnesses from the report on with which their incident has three or more distinct authorities.
+
+    Reports count in the order of (published_at, id); earlier ones stay individual. The
+    moment at which an incident reaches the quorum is the time of the third authority's
+    first report, so one aggregation per (incident, authority) and a rank of these decide.
+    """
+    eye = F.col("source_type").isin("individual", "multiple_witnesses") & F.col("incident_id").isNotNull()
+    at = F.struct("published_at", "id")
+    first = publications.filter(eye & F.col("authority").isNotNull()).groupBy("incident_id", "authority").agg(F.min(at).alias("_from"))
+    quorum = top_rows(first, ["incident_id"], [F.col("_from").asc()], fixed.WITNESS_QUORUM).groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_from").alias("_from")
+    ).filter(F.col("_n") >= fixed.WITNESS_QUORUM).drop("_n")
+    joined = publications.join(quorum, "incident_id", "left")
+    hit = F.coalesce((F.col("source_type") == "individual") & (at >= F.col("_from")), F.lit(False))
     return joined.withColumns(
         {
             "evidence_rank": F.when(hit, 3).otherwise(F.col("evidence_rank")),
             "confidence": F.when(hit, 0.62).otherwise(F.col("confidence")),
             "source_type": F.when(hit, "multiple_witnesses").otherwise(F.col("source_type")),
         }
-    ).drop("_witnesses").select(*publications.columns)
+    ).select(*publications.columns)
 
 
 def incident_transitions(publications: DataFrame) -> DataFrame:
@@ -249,7 +256,7 @@ def pending_count(publications: DataFrame) -> DataFrame:
     return publications.agg(F.count_if(F.col("review_status") == "pending").alias("pending"))
 
 
-def review_queue(publications: DataFrame, limit: int | None = 100) -> DataFrame:
+def review_queue(publications: DataFrame, limit: int | None = None) -> DataFrame:
     queue = publications.filter(F.col("review_status") == "pending").orderBy(F.col("published_at").desc(), F.col("id").asc())
     return queue if limit is None else queue.limit(limit)
 

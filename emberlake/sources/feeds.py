@@ -128,9 +128,11 @@ INTAKE = (
 )
 
 
-def intake(raw: DataFrame, max_batch: int = 5_000) -> tuple[DataFrame, DataFrame]:
-    """(normalized publications, refused oversized batches as dead letters)."""
+def intake(raw: DataFrame, max_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(normalized publications, payloads that are no list of records or, with ``max_batch``, too long, as dead letters)."""
     rows = raw.withColumn("records", F.from_json("payload", INTAKE))
-    good = rows.filter(F.size("records") <= max_batch).select(F.explode("records").alias("r")).select("r.*")
-    bad = rows.filter(F.coalesce(F.size("records") > max_batch, F.lit(True))).select("url", "payload", F.lit("batch_size").alias("rule"))
+    fits = F.col("records").isNotNull() if max_batch is None else F.coalesce(F.size("records") <= max_batch, F.lit(False))
+    good = rows.filter(fits).select(F.explode("records").alias("r")).select("r.*")
+    rule = F.when(F.col("records").isNull(), "payload_is_json").otherwise("batch_size")
+    bad = rows.filter(~fits).select("url", "payload", rule.alias("rule"))
     return good.withColumn("reliability", F.lit(1.0)), bad

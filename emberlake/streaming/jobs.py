@@ -123,6 +123,9 @@ def sync_snapshot(spark: SparkSession, table: str, key: str, source_id: Any) ->
     def apply(batch: DataFrame, _number: int) -> None:
         if batch.isEmpty():
             return
+        if "source_generated_at" in batch.columns:  # of several snapshots in a batch only the newest counts
+            newest = batch.agg(F.max("source_generated_at")).first()[0]
+            batch = batch.filter(F.col("source_generated_at").eqNullSafe(F.lit(newest)))
         snapshot = batch.dropDuplicates([key])
 
         def change(current: DataFrame | None) -> DataFrame:
