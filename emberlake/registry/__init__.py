@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["civil", "quality", "osint", "reconcile", "areas", "roads", "feeds"]
+MODULES = ["civil", "quality", "osint", "reconcile", "areas", "roads", "feeds", "derived"]
 
 
 def _merged(attribute: str) -> dict:

@@ -53,7 +53,10 @@ def perimeters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assessments(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "assessments").withColumns(
+    """Assessments of incidents and, under the event numbers, of detections."""
+    rows = load(spark, sf, "assessments")
+    of_detections = rows.withColumns({"resource_type": F.lit("fire_detection"), "resource_id": F.concat(F.lit("det-"), F.lpad(F.replace("resource_id", F.lit("inc-"), F.lit("")), 12, "0"))})
+    return rows.unionByName(of_detections).withColumns(
         {
             "calculated_at": F.timestamp_micros("calculated_us"),
             "warnings": F.when(F.col("warning").isNotNull(), F.array("warning")).otherwise(F.array().cast("array<string>")),
@@ -69,9 +72,7 @@ FROM detections GROUP BY 1""")
 def detections_unique(spark: SparkSession, sf: str) -> DataFrame:
     day = F.floor(F.col("observed_us") / 86400e6).cast("string")
     df = detections(spark, sf).withColumn("digest", F.sha2(F.concat_ws("|", "sensor", "satellite", F.col("user_id").cast("string"), day), 256))
-    first = dedupe.keep_first(df, ["digest"], ["id"]).select("digest", F.col("id").alias("first_id"), F.round("confidence", 4).alias("confidence"))
-    copies = df.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    return first.join(copies, "digest")
+    return df.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.round(F.min_by("confidence", "id"), 4).alias("confidence"))
 
 
 @register("detection_duplicates", ctes("detections") + """
@@ -81,15 +82,19 @@ def detection_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.duplicate_counts(load(spark, sf, "detections"), ["sensor", "user_id"])
 
 
-@register("detections_in_bbox", ctes("detections", "sources") + f""", d AS (
+@register("detections_in_bbox", ctes("detections", "sources", "assessments") + f""", d AS (
   SELECT *, {CODE} AS confidence FROM detections
   WHERE longitude BETWEEN {BBOX[0]} AND {BBOX[2]} AND latitude BETWEEN {BBOX[1]} AND {BBOX[3]})
-SELECT d.id, s.name AS source_name, s.authority AS source_authority, d.provenance, round(d.confidence, 4) AS confidence,
+SELECT d.id, s.name AS source_name, s.authority AS source_authority, d.provenance, round(coalesce(a.assessed, d.confidence), 4) AS confidence, a.category AS confidence_category,
        greatest(0, CAST(trunc(({NOW_US} - observed_us) / 1e6) AS BIGINT)) AS age_seconds,
        NOT (provenance = 'estimated' AND observed_us < {NOW_US} - 12 * 3600000000) AS is_current,
-       CASE WHEN provenance = 'estimated' AND observed_us < {NOW_US} - 12 * 3600000000 THEN 'old_estimate_not_current' ELSE '' END AS warnings,
+       concat_ws(',', a.warning, CASE WHEN provenance = 'estimated' AND observed_us < {NOW_US} - 12 * 3600000000 THEN 'old_estimate_not_current' END) AS warnings,
        CASE WHEN scan_km > 0 THEN scan_km END AS scan_km, CASE WHEN track_km > 0 THEN track_km END AS track_km
-FROM d LEFT JOIN sources s ON d.source_id = s.source_id WHERE d.confidence >= 0.5""")
+FROM d LEFT JOIN sources s ON d.source_id = s.source_id LEFT JOIN (
+  SELECT 'det-' || lpad(replace(resource_id, 'inc-', ''), 12, '0') AS id, confidence AS assessed, category, warning,
+    row_number() OVER (PARTITION BY resource_id ORDER BY calculated_us DESC, confidence DESC, category DESC, coalesce(warning, '') DESC) AS nth FROM assessments) a
+  ON a.id = d.id AND a.nth = 1
+WHERE d.confidence >= 0.5""")
 def detections_in_bbox(spark: SparkSession, sf: str) -> DataFrame:
     """Detections in an envelope with lineage: the flagship query."""
     q = CivilQuery(bbox=",".join(map(str, BBOX)), min_confidence=0.5, only_current=False, limit=None)
@@ -98,7 +103,7 @@ def detections_in_bbox(spark: SparkSession, sf: str) -> DataFrame:
     out = civil.lineage(civil.detection_properties(kept), "fire_detection", load(spark, sf, "sources"), assessments(spark, sf), AS_OF)
     return out.select(
         "id", F.col("source.name").alias("source_name"), F.col("source.authority").alias("source_authority"), "provenance",
-        F.round("confidence", 4).alias("confidence"), "age_seconds", "is_current",
+        F.round("confidence", 4).alias("confidence"), "confidence_category", "age_seconds", "is_current",
         F.array_join("warnings", ",").alias("warnings"), "scan_km", "track_km",
     )
 
@@ -188,9 +193,9 @@ def incidents_by_municipality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("incidents_ordered_by_area", ctes("incidents") + """
-SELECT id, area_hectares FROM incidents ORDER BY area_hectares DESC, observed_us DESC, id LIMIT 200""")
+SELECT id, area_hectares FROM incidents""")
 def incidents_ordered_by_area(spark: SparkSession, sf: str) -> DataFrame:
-    return civil.ordered_incidents(incidents(spark, sf), "area").limit(200).select("id", "area_hectares")
+    return civil.ordered_incidents(incidents(spark, sf), "area").select("id", "area_hectares")
 
 
 @register("perimeters_by_period", ctes("perimeters") + f"""
@@ -212,12 +217,11 @@ def perimeters_in_bbox(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("latest_assessments", ctes("assessments") + """
-SELECT resource_id AS id, max(calculated_us) AS calculated_us, count(*) AS history FROM assessments GROUP BY 1""")
+SELECT resource_id AS id, confidence, category, coalesce(warning, '') AS warnings FROM (SELECT *,
+  row_number() OVER (PARTITION BY resource_id ORDER BY calculated_us DESC, confidence DESC, category DESC, coalesce(warning, '') DESC) AS nth FROM assessments) WHERE nth = 1""")
 def latest_assessments(spark: SparkSession, sf: str) -> DataFrame:
-    df = assessments(spark, sf)
-    newest = dedupe.top_rows(df, ["resource_id"], [F.col("calculated_us").desc()])
-    history = df.groupBy("resource_id").agg(F.count(F.lit(1)).alias("history"))
-    return newest.join(history, "resource_id").select(F.col("resource_id").alias("id"), "calculated_us", "history")
+    out = civil.latest_assessments(assessments(spark, sf), "incident")
+    return out.select("id", "_assessment.confidence", "_assessment.category", F.array_join("_assessment.warnings", ",").alias("warnings"))
 
 
 @register("source_rollup", ctes("incidents", "sources") + """
@@ -280,7 +284,9 @@ def risk_layer(spark: SparkSession, sf: str) -> DataFrame:
     return civil.risk_layer(risk, rows).select("id", "category")
 
 
-@register("content_fingerprint")
+@register("content_fingerprint", ctes("incidents") + """
+SELECT count(*) AS rows, sum(CAST('0x' || substr(h, 1, 12) AS BIGINT))::BIGINT AS first_sum, sum(CAST('0x' || substr(h, 13, 12) AS BIGINT))::BIGINT AS second_sum
+FROM (SELECT sha256('{"id":"' || id || '","status":"' || status || '","title":"' || title || '"}') AS h FROM incidents)""")
 def content_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return civil.fingerprint(load(spark, sf, "incidents").select("id", "status", "title"))
 

@@ -36,16 +36,16 @@ def text(col: str) -> Column:
 
 
 @register("feed_items", ctes("publications") + """
-SELECT id AS external_id, title, strftime(date_trunc('second', published_at), '%Y-%m-%d %H:%M:%S') AS published_at FROM publications""")
+SELECT id AS external_id, title, trim(regexp_replace(body, '[ \t\n\r]+', ' ', 'g'), ' ') AS body, strftime(date_trunc('second', published_at), '%Y-%m-%d %H:%M:%S') AS published_at FROM publications""")
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
     """Publications written as RSS items and read back."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     doc = F.concat(
-        F.lit("<rss><channel><item><guid>"), "id", F.lit("</guid><title>"), escape(F.col("title")), F.lit("</title><description>"), escape(F.substring("body", 1, 200)),
+        F.lit("<rss><channel><item><guid>"), "id", F.lit("</guid><title>"), escape(F.col("title")), F.lit("</title><description>"), escape(F.col("body")),
         F.lit("</description><link>"), "url", F.lit("</link><pubDate>"), F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item></channel></rss>"),
     )
     out = feeds.publications(raw(load(spark, sf, "publications"), doc))
-    return out.select("external_id", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+    return out.select("external_id", "title", F.trim(F.regexp_replace("body", r"[ \t\n\r]+", " ")).alias("body"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
 @register("page_anchors", """

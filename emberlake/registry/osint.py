@@ -123,13 +123,14 @@ def hashtag_usage(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("uses"), F.min("id").alias("first_id"))
 
 
-@register("witness_promotion", ctes("publications") + """, w AS (
-  SELECT incident_id, count(DISTINCT authority) AS n FROM publications WHERE source_type IN ('individual', 'multiple_witnesses') GROUP BY 1)
+@register("witness_promotion", ctes("publications") + """,
+p AS (SELECT id, source_type, authority, published_us, 'inc-' || CAST(doc_id % 60 AS STRING) AS inc FROM publications),
+seen AS (  -- distinct authorities among the eye witnesses up to and with each report
+  SELECT a.id, count(DISTINCT b.authority) AS n FROM p a JOIN p b ON a.inc = b.inc AND (b.published_us, b.id) <= (a.published_us, a.id)
+  WHERE b.source_type IN ('individual', 'multiple_witnesses') GROUP BY 1)
 SELECT p.id, CASE WHEN source_type = 'individual' AND n >= 3 THEN 'multiple_witnesses' ELSE source_type END AS source_type,
   CASE WHEN source_type = 'individual' AND n >= 3 THEN 3 ELSE 4 END AS evidence_rank
-FROM (SELECT * REPLACE ('inc-' || CAST(doc_id % 60 AS STRING) AS incident_id) FROM publications) p
-LEFT JOIN (SELECT 'inc-' || CAST(doc_id % 60 AS STRING) AS incident_id, count(DISTINCT authority) AS n FROM publications
-           WHERE source_type IN ('individual', 'multiple_witnesses') GROUP BY 1) x USING (incident_id)""")
+FROM p LEFT JOIN seen USING (id)""")
 def witness_promotion(spark: SparkSession, sf: str) -> DataFrame:
     df = load(spark, sf, "publications").withColumns(
         {"incident_id": F.concat(F.lit("inc-"), (F.col("doc_id") % 60).cast("string")), "evidence_rank": F.lit(4), "confidence": F.lit(0.3)}
@@ -190,7 +191,7 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("review_decisions", ctes("publications") + """
 SELECT p.id AS publication_id, coalesce(x.status, review_status) AS review_status FROM publications p LEFT JOIN (
-  SELECT l_orderkey % 1000 AS d, arg_max(CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'accepted' END,
+  SELECT l_orderkey AS d, arg_max(CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'accepted' END,
     (epoch_us(l_shipdate), l_partkey, l_suppkey, l_extendedprice)) AS status FROM lineitem GROUP BY 1) x ON x.d = p.doc_id""")
 def review_decisions(spark: SparkSession, sf: str) -> DataFrame:
     from emberlake.operators.merge import review
@@ -198,7 +199,7 @@ def review_decisions(spark: SparkSession, sf: str) -> DataFrame:
     lines = base(spark, sf, "lineitem")
     rank = F.struct(F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), "l_partkey", "l_suppkey", "l_extendedprice")
     decisions = lines.select(
-        F.concat(F.lit("pub-"), (F.col("l_orderkey") % 1000).cast("string")).alias("publication_id"),
+        F.concat(F.lit("pub-"), F.col("l_orderkey").cast("string")).alias("publication_id"),
         F.when(F.col("l_returnflag") == "R", "rejected").otherwise("accepted").alias("status"),
         F.lit(None).cast("string").alias("notes"), F.lit("duty").alias("reviewer"), rank.alias("reviewed_at"),
     )

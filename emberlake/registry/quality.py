@@ -67,8 +67,7 @@ def confidence_assessments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register("detection_links", ctes("detections") + """
-SELECT a.id AS resource_id, b.id AS related_resource_id, round(2 * 6371000e0 * asin(sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2)
+_LINKS_BODY = """SELECT a.id AS resource_id, b.id AS related_resource_id, round(2 * 6371000e0 * asin(sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2)
     + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))), 2) AS distance_meters,
   round((b.observed_us - a.observed_us) / 60e6, 2) AS minutes_apart
 FROM detections a JOIN detections b
@@ -76,22 +75,24 @@ FROM detections a JOIN detections b
  AND (a.observed_us < b.observed_us OR a.id < b.id)
  AND abs(a.latitude - b.latitude) < 0.03 AND abs(a.longitude - b.longitude) < 0.05
 WHERE 2 * 6371000e0 * asin(sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2)
-    + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))) <= 2500""")
+    + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))) <= 2500"""
+
+
+@register("detection_links", ctes("detections") + _LINKS_BODY)
 def detection_links(spark: SparkSession, sf: str) -> DataFrame:
     links = quality.link_detections(load(spark, sf, "detections"))
     return links.select("resource_id", "related_resource_id", "distance_meters", "minutes_apart")
 
 
-_CONFLICTS = ctes("road_incidents") + """, c AS (SELECT * FROM road_incidents WHERE kind = 'official_closure'),
-v AS (SELECT * FROM road_incidents WHERE kind = 'insufficient_data')
-SELECT CASE WHEN (c.observed_us, c.id) > (v.observed_us, v.id) THEN c.id ELSE v.id END AS resource_id,
+_CONFLICTS_BODY = """SELECT CASE WHEN (c.observed_us, c.id) > (v.observed_us, v.id) THEN c.id ELSE v.id END AS resource_id,
        CASE WHEN (c.observed_us, c.id) > (v.observed_us, v.id) THEN v.id ELSE c.id END AS conflicting_resource_id,
        CASE WHEN (c.observed_us, c.id) > (v.observed_us, v.id) THEN 'official_closure' ELSE 'insufficient_data' END AS first_kind,
        c.road_segment_id
-FROM c JOIN v ON c.road_segment_id = v.road_segment_id"""
+FROM (SELECT * FROM road_incidents WHERE kind = 'official_closure') c JOIN (SELECT * FROM road_incidents WHERE kind = 'insufficient_data') v
+  ON c.road_segment_id = v.road_segment_id"""
 
 
-@register("road_conflicts", _CONFLICTS)
+@register("road_conflicts", ctes("road_incidents") + _CONFLICTS_BODY)
 def road_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return quality.road_conflicts(load(spark, sf, "road_incidents")).select("resource_id", "conflicting_resource_id", "first_kind", "road_segment_id")
 
@@ -106,22 +107,46 @@ def road_conflict_summary(spark: SparkSession, sf: str) -> DataFrame:
     return quality.road_conflict_summary(load(spark, sf, "road_incidents"))
 
 
-@register("record_trace", ctes("incidents", "sources", "assessments") + f""", r AS (
-  SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY calculated_us DESC, confidence, category) AS rn FROM assessments)
-SELECT i.id, s.authority, CAST(trunc(({NOW_US} - observed_us) / 1e6) AS BIGINT) AS age_seconds, count(r.resource_id) AS shown,
-       coalesce(max(r.calculated_us), 0) AS newest_us
-FROM incidents i LEFT JOIN sources s USING (source_id) LEFT JOIN r ON r.resource_id = i.id AND rn <= 5
-GROUP BY 1, 2, 3""")
+@register("record_trace", ctes("incidents", "sources", "assessments", "detections", "road_incidents") + f""", r AS (
+  SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY calculated_us DESC, confidence, category) AS rn FROM assessments),
+scored AS (SELECT resource_id AS id, count(*) AS shown, max(calculated_us) AS newest_us FROM r WHERE rn <= 5 GROUP BY 1),
+clash AS ({_CONFLICTS_BODY}), near AS ({_LINKS_BODY}),
+sides AS (
+  SELECT 'c' AS k, resource_id AS id, resource_id AS x, conflicting_resource_id AS y FROM clash UNION ALL
+  SELECT 'c', conflicting_resource_id, resource_id, conflicting_resource_id FROM clash UNION ALL
+  SELECT 'l', resource_id, resource_id, related_resource_id FROM near UNION ALL
+  SELECT 'l', related_resource_id, resource_id, related_resource_id FROM near),
+ten AS (SELECT k, id, x || '>' || y AS pair FROM (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY x, y) AS rn FROM sides) WHERE rn <= 10),
+lists AS (
+  SELECT id, string_agg(pair, ',' ORDER BY pair) FILTER (k = 'c') AS conflicts, string_agg(pair, ',' ORDER BY pair) FILTER (k = 'l') AS links FROM ten GROUP BY 1),
+records AS (
+  SELECT id, source_id, observed_us FROM incidents UNION ALL SELECT id, source_id, observed_us FROM detections
+  UNION ALL SELECT DISTINCT id, source_id, observed_us FROM road_incidents)
+SELECT q.id, s.authority, CAST(trunc(({NOW_US} - q.observed_us) / 1e6) AS BIGINT) AS age_seconds, coalesce(shown, 0) AS shown, coalesce(newest_us, 0) AS newest_us,
+       coalesce(conflicts, '') AS conflicts, coalesce(links, '') AS links
+FROM records q LEFT JOIN sources s USING (source_id) LEFT JOIN scored ON scored.id = q.id LEFT JOIN lists ON lists.id = q.id""")
 def record_trace(spark: SparkSession, sf: str) -> DataFrame:
-    records = base.incidents(spark, sf).select(F.lit("incident").alias("resource_type"), "id", "source_id", "observed_at")
-    scores = base.assessments(spark, sf).withColumn("algorithm_version", F.lit("confidence-v1"))
-    roads = load(spark, sf, "road_incidents")
-    conflicts = quality.road_conflicts(roads.filter(F.col("severity") > 49)).withColumn("detected_at", F.lit(AS_OF).cast("timestamp"))
-    links = quality.link_detections(load(spark, sf, "detections")).withColumn("created_at", F.lit(AS_OF).cast("timestamp"))
+    """Traces of all incidents, detections and road incidents with their assessments, conflicts and links."""
+    roads = load(spark, sf, "road_incidents").withColumn("observed_at", F.timestamp_micros("observed_us"))
+    kinds = {"incident": base.incidents(spark, sf), "fire_detection": load(spark, sf, "detections"), "road_incident": roads}
+    records = None
+    for kind, df in kinds.items():
+        part = df.select(F.lit(kind).alias("resource_type"), "id", "source_id", "observed_at").distinct()
+        records = part if records is None else records.unionByName(part)
+    scores = base.assessments(spark, sf).filter("resource_type = 'incident'").withColumn("algorithm_version", F.lit("confidence-v1"))
+    stamp = F.lit(AS_OF).cast("timestamp")
+    conflicts = quality.road_conflicts(roads).withColumn("detected_at", stamp)
+    links = quality.link_detections(load(spark, sf, "detections")).withColumn("created_at", stamp)
     out = quality.trace(records, load(spark, sf, "sources"), scores, conflicts, links, AS_OF)
-    shown = F.coalesce(F.size("confidence_history"), F.lit(0)).cast("long")
+
+    def pairs(name: str, other: str):
+        found = F.transform(name, lambda c: F.concat(c["resource_id"], F.lit(">"), c[other]))
+        return F.coalesce(F.array_join(F.array_sort(found), ","), F.lit("")).alias(name)
+
     return out.select(
-        "id", F.col("source.authority").alias("authority"), "age_seconds",
-        F.when(F.col("confidence_history").isNull(), F.lit(0).cast("long")).otherwise(shown).alias("shown"),
-        F.coalesce(F.unix_micros(F.col("confidence_history")[0]["stamp"]), F.lit(0)).alias("newest_us"),
+        "id", F.col("source.authority").alias("authority"), "age_seconds", F.coalesce(F.size("confidence_history"), F.lit(0)).cast("long").alias("shown"),
+        F.coalesce(F.unix_micros(F.get("confidence_history", F.lit(0))["stamp"]), F.lit(0)).alias("newest_us"),
+        pairs("conflicts", "conflicting_resource_id"), pairs("links", "related_resource_id"),
     )
+
+
