@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions import dates, fixed, scoring
 from emberlake.functions import text as X
+from emberlake.operators.components import connected_components
 from emberlake.operators.dedupe import keep_first, top_rows
 from emberlake.operators.mentions import mention_join, resolve_places
 from emberlake.operators.skew import salted_join
 from emberlake.operators.stage import computed
+from emberlake.session import cut_lineage
 
 OTHER = "other_emergency_update"
 
@@ -120,16 +122,47 @@ def assign_to_incidents(publications: DataFrame, incidents: DataFrame, days: int
     return enough.groupBy("pub_id").agg(F.max_by("incident_id", F.struct("i_at", "incident_id")).alias("incident_id"))
 
 
-def new_incidents(publications: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Incidents opened by publications that match none; one per publication, deterministic id.
+def group_new_reports(publications: DataFrame, days: int = 7) -> DataFrame:
+    """(pub_id, lead_id): reports of one new fire under the earliest of them.
 
-    Summaries of several fires always open their own.
+    Reports of one risk that name a place (or, without a place, share a title word pair)
+    belong together while no more than ``days`` lie between one and the next; groups that
+    share a report are one. Summaries of several fires stand alone. Gaps are looked for
+    between hour blocks, so a busy place is one row per hour in the window.
+    """
+    multi = F.coalesce(F.col("multi_incident_summary"), F.lit(False))
+    rows = publications.select(
+        "id", "risk_type", F.unix_micros("published_at").alias("us"), multi.alias("multi"),
+        F.array_distinct(F.transform(F.coalesce("place_names", F.array().cast("array<string>")), X.normalize)).alias("places"),
+        F.array_sort(X.title_tokens(X.normalize(F.col("title")))).alias("words"),
+    )
+    pairs = F.flatten(F.transform("words", lambda a, i: F.transform(F.filter("words", lambda b: b > a), lambda b: F.concat(F.lit("words:"), a, F.lit(" "), b))))
+    keyed = rows.filter(~F.col("multi")).withColumn("k", F.explode(F.when(F.size("places") > 0, F.col("places")).otherwise(pairs)))
+    keyed = keyed.select("id", "risk_type", "k", "us", F.expr("us div 3600000000").alias("hour"))
+    at = F.struct("us", "id")
+    blocks = keyed.groupBy("risk_type", "k", "hour").agg(F.min("us").alias("low"), F.max("us").alias("high"), F.min(at).alias("first"))
+    w = Window.partitionBy("risk_type", "k").orderBy("hour")
+    starts = (F.col("low") - F.lag("high").over(w) > days * 86_400_000_000) | F.lag("high").over(w).isNull()
+    runs = blocks.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    heads = runs.groupBy("risk_type", "k", "run").agg(F.min("first").alias("head"))
+    in_run = keyed.join(runs.select("risk_type", "k", "hour", "run"), ["risk_type", "k", "hour"]).join(heads, ["risk_type", "k", "run"])
+    edges = in_run.select(F.col("id").alias("src"), F.col("head.id").alias("dst")).distinct()
+    found = connected_components(edges).select(F.col("node").alias("id"), "component")
+    member = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    leads = member.groupBy("component").agg(F.min(at).alias("lead"))
+    return member.join(leads, "component").select(F.col("id").alias("pub_id"), F.col("lead.id").alias("lead_id"))
+
+
+def new_incidents(publications: DataFrame, leads: DataFrame | None = None) -> DataFrame:
+    """Incidents opened by the reports that lead a group of ``group_new_reports``; by every report without ``leads``.
+
+    Ids are digests of the leading report's external id. Summaries of several fires open their own.
     """
     place = F.coalesce(F.initcap(X.normalize(F.get("place_names", F.lit(0)))), F.lit("Espanya"))
     names = F.coalesce(F.nullif(F.array_join("place_names", " / "), F.lit("")), F.lit("Espanya"))
     multi = F.coalesce(F.col("multi_incident_summary"), F.lit(False))
     official = F.col("source_type") == "official"
-    rows = publications.join(assigned.select(F.col("pub_id").alias("id")), "id", "left_anti")
+    rows = publications if leads is None else publications.join(leads.select(F.col("lead_id").alias("id")).distinct(), "id", "left_semi")
     external = F.when(multi, F.concat(F.lit("osint-summary:"), "external_id")).otherwise(F.concat(F.lit("osint:"), "external_id"))
     return rows.select(
         F.sha2(external, 256).alias("id"), external.alias("external_id"), F.col("id").alias("opened_by"),
@@ -141,6 +174,30 @@ def new_incidents(publications: DataFrame, assigned: DataFrame) -> DataFrame:
     )
 
 
+def ingest_publications(batch: DataFrame, stored: DataFrame, incidents: DataFrame, gazetteer: DataFrame, boundaries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(publications with their incident, incidents they opened) of a batch.
+
+    Classified and enriched publications are split by their hash: unseen ones are assigned,
+    repeated ones left to the caller. Given ``locations`` win over names found in the text. Unseen
+    publications go to the newest matching stored incident, the rest open one incident per
+    group of reports, and individual reports are promoted once enough witnesses have spoken.
+    """
+    rows = enrich_publications(batch, gazetteer, boundaries)
+    names = F.coalesce("place_names", F.array().cast("array<string>"))
+    given = F.coalesce("locations", F.array().cast("array<string>")) if "locations" in batch.columns else F.array().cast("array<string>")
+    rows = cut_lineage(rows.withColumn("place_names", F.when(F.size(given) > 0, given).otherwise(names)), "enriched")
+    fresh, _ = split_known(rows, stored)
+    fresh = cut_lineage(fresh, "fresh")
+    single = fresh.filter(~F.coalesce("multi_incident_summary", F.lit(False)))
+    assigned = cut_lineage(assign_to_incidents(single, incidents), "assigned")
+    rest = fresh.join(assigned.select(F.col("pub_id").alias("id")), "id", "left_anti")
+    groups = cut_lineage(group_new_reports(rest), "new-reports")
+    opened = cut_lineage(new_incidents(rest, groups), "opened")
+    own = groups.join(opened.select(F.col("opened_by").alias("lead_id"), F.col("id").alias("incident_id")), "lead_id").select("pub_id", "incident_id")
+    out = fresh.drop("incident_id").join(assigned.unionByName(own).withColumnRenamed("pub_id", "id"), "id", "left")
+    return promote_witnesses(out), opened
+
+
 def promote_witnesses(publications: DataFrame) -> DataFrame:
     """Individual reports become multiple witnesses from the report on with which their incident has three or more distinct authorities.
 
@@ -194,8 +251,6 @@ def incident_versions(publications: DataFrame, incidents: DataFrame) -> DataFram
     Numbers come from a running count inside hour blocks plus the blocks before, so a
     busy incident is spread over its hours.
     """
-    from pyspark.sql import Window
-
     rows = publications.filter(F.col("incident_id").isNotNull()).withColumn("_hour", F.date_trunc("hour", "published_at"))
     per_hour = rows.groupBy("incident_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("incident_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)

@@ -265,6 +265,27 @@ def publications_to_incidents(spark: SparkSession, sf: str) -> DataFrame:
     return osint.assign_to_incidents(publications(spark, sf), inc)
 
 
+@register("ingested_publications", ctes("publications", "incidents") + CLASSIFIED + f""",
+k AS (SELECT *, coalesce(nullif(regexp_extract(title, 'Commune [0-9]+'), ''), '') AS named FROM c WHERE event_type <> '{osint.OTHER}'),
+m AS (  -- newest stored incident of the risk and place, one at a time
+  SELECT k.id AS pub_id, (SELECT i.id FROM incidents i WHERE i.commune = k.named AND k.risk_type = 'flood' AND i.observed_us >= k.published_us - 7 * 86400000000
+    ORDER BY i.observed_us DESC, i.id DESC LIMIT 1) AS incident_id FROM k),
+r AS (SELECT k.id, k.risk_type, k.named, k.published_us AS us FROM k JOIN m ON m.pub_id = k.id WHERE m.incident_id IS NULL),
+b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY risk_type, named ORDER BY us, id) <= 7 * 86400000000 THEN 0 ELSE 1 END AS s FROM r),
+g AS (SELECT *, sum(s) OVER (PARTITION BY risk_type, named ORDER BY us, id) AS run FROM b),
+l AS (SELECT id, first_value(id) OVER (PARTITION BY risk_type, named, run ORDER BY us, id) AS lead_id FROM g)
+SELECT k.id, event_type, risk_type, coalesce(m.incident_id, sha256('osint:' || lead_id)) AS incident_id
+FROM k LEFT JOIN m ON m.pub_id = k.id LEFT JOIN l ON l.id = k.id""")
+def ingested_publications(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole intake of publications against stored flood incidents."""
+    batch = load(spark, sf, "publications").withColumns({"reliability": F.lit(1.0), "external_id": F.col("id")}).drop("incident_id", "review_status")
+    stored = spark.createDataFrame([], "deduplication_hash string")
+    inc = civil.incidents(spark, sf).withColumns({"risk_type": F.lit("flood"), "affected_locations": F.array("commune"), "multi_incident_summary": F.lit(False)})
+    places = load(spark, sf, "publications").select(F.col("place").alias("name")).distinct()
+    out, _ = osint.ingest_publications(batch, stored, inc, places)
+    return out.select("id", "event_type", "risk_type", "incident_id")
+
+
 @register("empty_incidents_hidden", ctes("incidents", "publications") + """
 SELECT id, hidden OR (osint AND id NOT IN (SELECT incident_id FROM publications)) AS hidden FROM incidents""")
 def empty_incidents_hidden(spark: SparkSession, sf: str) -> DataFrame:
