@@ -9,7 +9,7 @@ from emberlake.adapters import AS_OF, ctes, load, perimeter_geometry
 from emberlake.functions import scoring, units
 from emberlake.operators import dedupe, expectations
 from emberlake.plans import civil
-from emberlake.plans.civil import CivilQuery
+from emberlake.plans.selection import Box, Circle, Page, Selection, Span
 
 QUERIES, ORACLE = {}, {}
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -97,10 +97,9 @@ FROM d LEFT JOIN sources s ON d.source_id = s.source_id LEFT JOIN (
 WHERE d.confidence >= 0.5""")
 def detections_in_bbox(spark: SparkSession, sf: str) -> DataFrame:
     """Detections in an envelope with lineage: the flagship query."""
-    q = CivilQuery(bbox=",".join(map(str, BBOX)), min_confidence=0.5, only_current=False, limit=None)
-    df = detections(spark, sf)
-    kept = civil.apply_filters(df, q, "fire_detection", load(spark, sf, "sources"), AS_OF)
-    out = civil.lineage(civil.detection_properties(kept), "fire_detection", load(spark, sf, "sources"), assessments(spark, sf), AS_OF)
+    wanted = Selection(region=Box(*BBOX), confidence_from=0.5, span=Span(outdated=True))
+    found = civil.served(detections(spark, sf), wanted, "fire_detection", load(spark, sf, "sources"), assessments(spark, sf), AS_OF)
+    out = civil.detection_properties(found)
     return out.select(
         "id", F.col("source.name").alias("source_name"), F.col("source.authority").alias("source_authority"), "provenance",
         F.round("confidence", 4).alias("confidence"), "confidence_category", "age_seconds", "is_current",
@@ -113,9 +112,8 @@ SELECT id, {CODE} AS confidence, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS o
 WHERE (provenance <> 'estimated' OR observed_us >= {NOW_US} - 12 * 3600000000)
 ORDER BY {CODE} DESC NULLS LAST, id DESC LIMIT 100 OFFSET 50""")
 def detection_page(spark: SparkSession, sf: str) -> DataFrame:
-    q = CivilQuery(sort="confidence_desc", limit=100, offset=50)
-    df = civil.apply_filters(detections(spark, sf), q, "fire_detection", load(spark, sf, "sources"), AS_OF)
-    return civil.page(df, q).select("id", "confidence", stamp("observed_at"))
+    df = Selection().keep(detections(spark, sf), "fire_detection", load(spark, sf, "sources"), AS_OF)
+    return Page(order="confidence", rows=100, skip=50).cut(df).select("id", "confidence", stamp("observed_at"))
 
 
 @register("detection_timeline", ctes("detections") + f"""
@@ -158,7 +156,7 @@ WHERE m <= 120000""")
 def detections_near_point(spark: SparkSession, sf: str) -> DataFrame:
     from emberlake.functions.geo import haversine_m
 
-    near = civil.radius_filter(load(spark, sf, "detections"), 40.0, -3.5, 120_000)
+    near = Circle(40.0, -3.5, 120_000).keep(load(spark, sf, "detections"))
     return near.select("id", F.round(haversine_m(F.lit(40.0), F.lit(-3.5), F.col("latitude"), F.col("longitude")), 2).alias("distance_meters"))
 
 
@@ -176,8 +174,8 @@ def incidents_current(spark: SparkSession, sf: str) -> DataFrame:
     from emberlake.functions import dates
 
     sources = load(spark, sf, "sources")
-    q = CivilQuery(status="active", source="nation_1", min_confidence=0.25, observed_from="2024-01-05", observed_to="2024-12-31", limit=None)
-    kept = civil.apply_filters(incidents(spark, sf), q, "incident", sources, AS_OF)
+    wanted = Selection(state="active", publisher="nation_1", confidence_from=0.25, span=Span(since="2024-01-05", until="2024-12-31"))
+    kept = wanted.keep(incidents(spark, sf), "incident", sources, AS_OF)
     now = dates.ts(AS_OF)
     return kept.select(
         "id", "status", "provenance", F.greatest(F.lit(0).cast("long"), dates.age_seconds(F.col("observed_at"), now)).alias("age_seconds"),
@@ -188,8 +186,8 @@ def incidents_current(spark: SparkSession, sf: str) -> DataFrame:
 @register("incidents_by_municipality", ctes("incidents") + """
 SELECT id, title FROM incidents WHERE merged_into IS NULL AND NOT hidden AND commune ILIKE '%commune 3%'""")
 def incidents_by_municipality(spark: SparkSession, sf: str) -> DataFrame:
-    q = CivilQuery(municipality="commune 3", only_current=False, limit=None)
-    return civil.apply_filters(incidents(spark, sf), q, "incident", load(spark, sf, "sources"), AS_OF).select("id", "title")
+    wanted = Selection(place="commune 3", span=Span(outdated=True))
+    return wanted.keep(incidents(spark, sf), "incident", load(spark, sf, "sources"), AS_OF).select("id", "title")
 
 
 @register("incidents_ordered_by_area", ctes("incidents") + """
@@ -205,15 +203,15 @@ FROM (SELECT *, epoch_us(TIMESTAMP '2024-02-05') AS x FROM perimeters) p
 WHERE observed_us BETWEEN x - 365 * 86400000000 AND x - 7 * 86400000000 OR observed_us < x - 365 * 86400000000""")
 def perimeters_by_period(spark: SparkSession, sf: str) -> DataFrame:
     as_of = "2024-02-05 00:00:00"
-    q = CivilQuery(perimeter_period="year,historic", only_current=False, limit=None)
-    kept = civil.apply_filters(perimeters(spark, sf), q, "fire_perimeter", load(spark, sf, "sources"), as_of)
+    wanted = Selection(span=Span(periods=frozenset({"year", "historic"}), outdated=True))
+    kept = wanted.keep(perimeters(spark, sf), "fire_perimeter", load(spark, sf, "sources"), as_of)
     return kept.select("id", scoring.perimeter_period(F.col("observed_at"), F.lit(as_of).cast("timestamp")).alias("perimeter_period"))
 
 
 @register("perimeters_in_bbox", ctes("perimeters") + f"""
 SELECT id, area_hectares FROM perimeters WHERE xmin <= {BBOX[2]} AND xmax >= {BBOX[0]} AND ymin <= {BBOX[3]} AND ymax >= {BBOX[1]}""")
 def perimeters_in_bbox(spark: SparkSession, sf: str) -> DataFrame:
-    return civil.bbox_filter(perimeters(spark, sf), BBOX).select("id", "area_hectares")
+    return Box(*BBOX).keep(perimeters(spark, sf)).select("id", "area_hectares")
 
 
 @register("latest_assessments", ctes("assessments") + """

@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as contract
 from emberlake.adapters import BASE_TABLES
-from emberlake.plans import civil
+from emberlake.plans.selection import Box, Circle, Page, Selection, Span
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -37,16 +37,16 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
 
 
-@pytest.mark.parametrize("bad", [
-    {"latitude": 1.0}, {"radius_meters": 10}, {"bbox": "1,2,3"}, {"bbox": "5,0,1,2"}, {"sort": "x"}, {"limit": 500}, {"min_confidence": 2}, {"perimeter_period": "current,x"},
-    {"source": "a"}, {"offset": -1}, {"latitude": 100.0, "longitude": 0.0}, {"latitude": 1.0, "longitude": 1.0, "radius_meters": 300_000},
+@pytest.mark.parametrize("make", [
+    lambda: Box.read("1,2,3"), lambda: Box(5, 0, 1, 2), lambda: Box(0, 0, 200, 1), lambda: Circle(100.0, 0.0, 10), lambda: Circle(1.0, 1.0, 300_000),
+    lambda: Page(order="x"), lambda: Page(rows=500), lambda: Page(skip=-1), lambda: Selection(confidence_from=2), lambda: Selection(publisher="a"), lambda: Span(periods=frozenset({"x"})),
 ])
-def test_bad_query_arguments_are_refused(bad):
+def test_bad_selections_are_refused(make):
     with pytest.raises(ValueError):
-        civil.CivilQuery(**bad)
+        make()
 
 
 def test_filters_reach_the_scan(spark):
-    plan = civil.bbox_filter(spark.read.parquet(f"{SF}/customer.parquet").selectExpr("c_acctbal AS longitude", "c_acctbal AS latitude"), (0.0, 0.0, 5.0, 5.0))
+    plan = Box(0.0, 0.0, 5.0, 5.0).keep(spark.read.parquet(f"{SF}/customer.parquet").selectExpr("c_acctbal AS longitude", "c_acctbal AS latitude"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(c_acctbal,0.0)" in text and "c_name" not in text
