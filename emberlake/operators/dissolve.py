@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import fixed, geo
 from emberlake.operators.grid_join import Box, grid_join
-from emberlake.session import cut_lineage
+from emberlake.session import cut_lineage, drop_cut
 
 
 def unit_pieces(cells: DataFrame, group: str, col: str, row: str, half_col: str, half_row: str) -> DataFrame:
@@ -100,7 +100,8 @@ def chain_rings(edges: DataFrame) -> DataFrame:
             F.when(F.col("far_low") < F.col("low"), F.col("jump") + F.col("far_at")).otherwise(F.col("at")).alias("at"),
             (F.col("jump") + F.col("far_jump")).alias("jump"), (F.col("far_low") < F.col("low")).alias("moved"),
         )
-        state = cut_lineage(grown, "ring-links")
+        before, state = state, cut_lineage(grown, "ring-links")
+        drop_cut(before)
         if not state.agg(F.count_if("moved")).first()[0]:
             break
     # ``at`` counts steps to the smallest edge, so descending order walks the ring from it.

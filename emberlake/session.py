@@ -64,4 +64,12 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/emberlake/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop_cut(cut: DataFrame) -> None:
+    """Delete the copy behind a cut whose result nothing will read again, such as the last round of a loop."""
+    path = cut.sparkSession._jvm.org.apache.hadoop.fs.Path(cut.cut_path)
+    path.getFileSystem(cut.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
