@@ -87,9 +87,16 @@ def lattice(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-@register("merged_footprint", ctes("detections") + """
-SELECT round(CAST(count(DISTINCT (CAST(floor(longitude * 10) AS BIGINT), CAST(floor(latitude * 10) AS BIGINT))) AS DOUBLE), 3) AS area_cells FROM detections""")
+@register("merged_footprint", ctes("detections") + """,
+c AS (SELECT DISTINCT CAST(floor(longitude * 10) AS BIGINT) AS x, CAST(floor(latitude * 10) AS BIGINT) AS y FROM detections),
+e AS (SELECT count(*) AS n FROM c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS v(dx, dy) WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.x = c.x + dx AND o.y = c.y + dy))
+SELECT round(CAST(count(*) AS DOUBLE), 3) AS area_cells, round(CAST(any_value(e.n) AS DOUBLE), 3) AS edge_cells, CAST(min(x) AS DOUBLE) - 0.5e0 AS west, CAST(max(y) AS DOUBLE) + 0.5e0 AS north
+FROM c, e""")
 def merged_footprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Area of the union of all visible cells, from its polygons (holes subtracted)."""
+    """Union of all visible cells from its polygons: area with holes subtracted, length of all rings, two sides of its extent."""
     rings = areas.merged_footprint(lattice(spark, sf)).select(F.explode("rings").alias("ring"))
-    return rings.agg(F.round(F.sum(geo.ring_area(F.col("ring"))), 3).alias("area_cells"))
+    steps = F.transform("ring", lambda p, i: F.coalesce(geo.degrees_between(p, F.get("ring", i + 1)), F.lit(0.0)))
+    return rings.agg(
+        F.round(F.sum(geo.ring_area(F.col("ring"))), 3).alias("area_cells"), F.round(F.sum(F.aggregate(steps, F.lit(0.0), lambda a, b: a + b)), 3).alias("edge_cells"),
+        F.min(F.array_min(F.transform("ring", lambda p: p["x"]))).alias("west"), F.max(F.array_max(F.transform("ring", lambda p: p["y"]))).alias("north"),
+    )
