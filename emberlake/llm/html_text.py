@@ -144,7 +144,10 @@ def _role(name: str, attributes: str, in_article: bool) -> str | None:
         if _HIDDEN.search(attributes):
             return BOILERPLATE
         words = {w for m in _MARKS.finditer(attributes) for w in _SEPARATORS.split((m[1] or m[2] or m[3] or "").lower())}
-        if name not in ARTICLE_TAGS and words & BOILERPLATE_WORDS:
+        marks = words & BOILERPLATE_WORDS
+        if in_article or words & ARTICLE_WORDS:
+            marks -= {"header"}  # the heading of an article, not of the site
+        if name not in ARTICLE_TAGS and marks:
             return BOILERPLATE
         if words & ARTICLE_WORDS:
             return "article"
