@@ -20,6 +20,7 @@ CASES = [
     ("x < y and z > w", "x < y and z > w"),
     (f"<div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>", f"{LONG.strip()} Short one. {LONG.strip()}"),
     (f"<ul><li><a>Home</a></li><li><a>News</a></li></ul><p>Share</p><div><a>Privacy</a> <a>Terms</a></div><p>{LONG}</p>", LONG.strip()),
+    ("<div class=site-header>no</div><article><div class='entry-header'><h1>Title</h1></div><p>t</p><div class=post-footer>no</div></article>", "Title t"),
     ("<title>no</title><body><div hidden>no</div><p>yes</p>", "yes"),
 ]
 
