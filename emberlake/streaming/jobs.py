@@ -70,9 +70,12 @@ def daily_counts(stream: DataFrame, stamp: str = "observed_at", late: str = "14
 
 
 def witnesses(stream: DataFrame) -> DataFrame:
-    """Approximate number of authorities per incident, updated as reports arrive (twin of ``osint.promote_witnesses``)."""
+    """Number of authorities per incident, updated as reports arrive (twin of ``osint.promote_witnesses``).
+
+    The state of an incident is the set of its authorities: the rule is exact.
+    """
     eye = stream.filter(F.col("source_type").isin("individual", "multiple_witnesses"))
-    return eye.groupBy("incident_id").agg(F.approx_count_distinct("authority", 0.01).alias("witnesses")).withColumn(
+    return eye.groupBy("incident_id").agg(F.size(F.collect_set("authority")).alias("witnesses")).withColumn(
         "promoted", F.col("witnesses") >= fixed.WITNESS_QUORUM
     )
 
@@ -141,59 +144,24 @@ def sync_snapshot(spark: SparkSession, table: str, key: str, source_id: Any) ->
 
 # --- incident state -----------------------------------------------------------------
 
-STATE = (
-    "summary string, event_type string, risk_type string, status string, last_us long, last_id string, observed_us long, confidence double, "
-    "transitions long, started_us long, started_id string, ended_us long, ended_order_us long, ended_id string"
-)
-OUTPUT = (
-    "incident_id string, summary string, event_type string, risk_type string, status string, observed_us long, confidence double, "
-    "transitions long, restriction_started_us long, ended_us long"
-)
-
-
-class IncidentState(StatefulProcessor):
-    """Running state of one incident; late publications land where time order puts them.
+def incident_state(stream: DataFrame) -> DataFrame:
+    """Incident state after every batch, in update mode (twin of ``osint.incident_transitions``).
 
-    Keeps the fold of ``osint.incident_transitions`` in constant space: last event,
-    maxima, first restriction, last ending.
+    Every field is a decomposable aggregate (last, maximum, first, count), so a late
+    publication lands where time order puts it and the state of an incident has constant size.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("incident", STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = [part.strip().split(" ")[0] for part in STATE.split(",")]
-        s = dict(zip(names, self.state.get())) if self.state.exists() else dict.fromkeys(names)
-        s["transitions"] = s["transitions"] or 0
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                order, ended = (r.published_us, r.id), r.action_state == "ended"
-                if s["last_us"] is None or order > (s["last_us"], s["last_id"]):
-                    s.update(summary=r.title, event_type=r.event_type, risk_type=r.risk_type, status="controlled" if ended else "active", last_us=order[0], last_id=order[1])
-                s["observed_us"] = max(s["observed_us"] or order[0], order[0])
-                s["confidence"] = max(s["confidence"] or 0.0, float(r.confidence))
-                s["transitions"] += 1
-                if ended and (s["ended_order_us"] is None or order > (s["ended_order_us"], s["ended_id"])):
-                    s.update(ended_us=order[0], ended_order_us=order[0], ended_id=order[1])
-                begins = not ended and r.event_type in ("confinement_order", "evacuation_order")
-                if begins and (s["started_us"] is None or order < (s["started_us"], s["started_id"])):
-                    s.update(started_us=order[0], started_id=order[1])
-        self.state.update(tuple(s[n] for n in names))
-        yield pd.DataFrame({
-            "incident_id": [key[0]], "summary": [s["summary"]], "event_type": [s["event_type"]], "risk_type": [s["risk_type"]], "status": [s["status"]],
-            "observed_us": [s["observed_us"]], "confidence": [s["confidence"]], "transitions": [s["transitions"]],
-            "restriction_started_us": pd.array([s["started_us"]], dtype="Int64"), "ended_us": pd.array([s["ended_us"]], dtype="Int64"),
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def incident_state(stream: DataFrame) -> DataFrame:
-    """Incident state after every batch (twin of ``osint.incident_transitions``)."""
-    rows = stream.select("incident_id", "id", F.unix_micros("published_at").alias("published_us"), "title", "event_type", "risk_type", "action_state", "confidence")
-    return rows.groupBy("incident_id").transformWithStateInPandas(
-        IncidentState(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
+    order = F.struct("published_at", "id")
+    us = F.unix_micros("published_at")
+    ended = F.col("action_state") == "ended"
+    starts = ~ended & F.col("event_type").isin("confinement_order", "evacuation_order")
+    last = F.max_by(F.struct("title", "event_type", "risk_type", "action_state"), order)
+    return stream.groupBy("incident_id").agg(
+        last.alias("l"), F.max(us).alias("observed_us"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("transitions"),
+        F.min_by(F.when(starts, us), F.when(starts, order)).alias("restriction_started_us"), F.max_by(F.when(ended, us), F.when(ended, order)).alias("ended_us"),
+    ).select(
+        "incident_id", F.col("l.title").alias("summary"), F.col("l.event_type").alias("event_type"), F.col("l.risk_type").alias("risk_type"),
+        F.when(F.col("l.action_state") == "ended", "controlled").otherwise("active").alias("status"), "observed_us", "confidence", "transitions",
+        "restriction_started_us", "ended_us",
     )
 
 
