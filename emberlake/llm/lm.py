@@ -44,7 +44,7 @@ from emberlake.session import cut_lineage
 
 #: Units of the model with the end (0) and the unit of all rare words (1), its dimensions.
 UNITS, DIM = 512, 32
-#: Words in the dictionary every task holds, and the longest of them in bytes: 20 MB at most.
+#: Most words in the dictionary every task holds, and the longest of them in bytes: 20 MB at most.
 HEAD, HEAD_BYTES = 1 << 18, 64
 ROUNDS, STEPS, BATCH, NOISE, RATE = 2, 300, 1024, 64, 0.02
 #: Words counted in a task before they are passed on.
@@ -94,8 +94,17 @@ def count_words(raw: DataFrame) -> DataFrame:
 def head_of(counts: DataFrame, texts: int) -> Head:
     """The bounded dictionary and the totals; only these reach the driver."""
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    words = [bytes(w) for w in top["word"]]
+    # A histogram over powers of two in sixteenths tells from which count on the words fit.
+    short = counts.filter(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    least, fit = None, 0
+    for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("v")).collect(), reverse=True):
+        fit += r["v"]
+        if fit > HEAD:
+            break
+        least = r["step"]
+    top = short.filter(F.col("step") >= (least if least is not None else 1 << 20)).select("word", "n").toPandas()
+    top = top.assign(word=[bytes(w) for w in top["word"]]).sort_values(["n", "word"], ascending=[False, True])
+    words = top["word"].tolist()
     return Head({w: i for i, w in enumerate(words)}, top["n"].to_numpy(np.int64), texts, int(sums["n"]) + texts, int(sums["v"]) + (texts > 0))
 
 
