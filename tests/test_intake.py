@@ -22,15 +22,15 @@ def publications(spark, rows):
 def nothing(spark):
     stored = spark.createDataFrame([], "deduplication_hash string")
     incidents = spark.createDataFrame([], "id string, risk_type string, observed_at timestamp, affected_locations array<string>, summary string, title string, multi_incident_summary boolean")
-    return stored, incidents, spark.createDataFrame([("Artana",), ("Bejis",)], "name string")
+    return stored, incidents, spark.createDataFrame([("Morella",), ("Sagunt",)], "name string")
 
 
 FIRE = "Incendi forestal a la serra"
 
 
 def test_two_reports_of_a_new_fire_open_one_incident(spark, nothing):
-    rows = [("a", 0, "Artana", FIRE, "reliable_media", "x"), ("b", 1, "Artana", FIRE, "reliable_media", "y"), ("c", 2, "Bejis", FIRE, "reliable_media", "y"),
-            ("d", 24 * 7.5 + 1, "Artana", FIRE, "reliable_media", "z"), ("e", 24 * 16, "Artana", FIRE, "reliable_media", "z")]
+    rows = [("a", 0, "Morella", FIRE, "reliable_media", "x"), ("b", 1, "Morella", FIRE, "reliable_media", "y"), ("c", 2, "Sagunt", FIRE, "reliable_media", "y"),
+            ("d", 24 * 7.5 + 1, "Morella", FIRE, "reliable_media", "z"), ("e", 24 * 16, "Morella", FIRE, "reliable_media", "z")]
     out, opened = osint.ingest_publications(publications(spark, rows), *nothing)
     got = {r.id: r.incident_id for r in out.collect()}
     assert got["a"] == got["b"] and len({got["a"], got["c"], got["d"], got["e"]}) == 4
@@ -39,13 +39,13 @@ def test_two_reports_of_a_new_fire_open_one_incident(spark, nothing):
 
 def test_a_stored_incident_takes_later_reports(spark, nothing):
     stored, incidents, places = nothing
-    known = spark.createDataFrame([("inc-1", "wildfire", T0 - timedelta(days=2), ["artana"], None, "t", False)], incidents.schema)
-    out, opened = osint.ingest_publications(publications(spark, [("a", 0, "Artana", FIRE, "official", "x")]), stored, known, places)
+    known = spark.createDataFrame([("inc-1", "wildfire", T0 - timedelta(days=2), ["morella"], None, "t", False)], incidents.schema)
+    out, opened = osint.ingest_publications(publications(spark, [("a", 0, "Morella", FIRE, "official", "x")]), stored, known, places)
     assert [r.incident_id for r in out.collect()] == ["inc-1"] and opened.count() == 0
 
 
 def test_copies_through_a_gateway_are_the_same_publication(spark, nothing):
-    df = publications(spark, [("a", 0, "Artana", FIRE, "official", "x"), ("b", 1, "Artana", FIRE, "official", "x")]).withColumn("canonical_url", F.lit("https://x.com/u/status/1"))
+    df = publications(spark, [("a", 0, "Morella", FIRE, "official", "x"), ("b", 1, "Morella", FIRE, "official", "x")]).withColumn("canonical_url", F.lit("https://x.com/u/status/1"))
     out, _ = osint.ingest_publications(df, *nothing)
     assert [r.id for r in out.collect()] == ["a"]
 
