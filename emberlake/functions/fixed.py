@@ -167,3 +167,10 @@ DETECTION_REQUIRED = ["latitude", "longitude", "acq_date", "acq_time", "satellit
 TRAFFIC_MAP_XOR_KEY = 0x66
 WAY_TAGS = ["highway", "surface", "width", "access", "maxweight", "incline", "tracktype", "smoothness"]
 PLAN_AREA_BBOX = "0.15,40.5,3.35,42.9"
+
+# Ending of the external id of an incident made from a perimeter, metadata keys that reconciliation derives anew.
+OWN_INCIDENT_ENDING = ":incident"
+DERIVED_FIRE_KEYS = [
+    "merged_into", "hidden", "reconciliation_score", "reconciliation_reasons", "merged_incident_ids", "reconciliation_matches", "hashtags", "primary_hashtag",
+    "affected_locations", "evidence_sources",
+]

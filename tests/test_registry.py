@@ -7,7 +7,7 @@ from emberlake.plans.selection import Box, Circle, Page, Selection, Span
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"perimeter_pairs", "ingested_publications", "perimeter_groups", "publications_to_fires", "publications_to_incidents", "gazetteer_occurrences", "detection_groups", "detection_grid",
+SLOW = {"merged_incidents", "perimeter_pairs", "ingested_publications", "perimeter_groups", "publications_to_fires", "publications_to_incidents", "gazetteer_occurrences", "detection_groups", "detection_grid",
         "merged_footprint", "merged_roads", "road_routes", "road_parts", "incident_transitions", "road_features", "road_ways", "weather_alerts", "burnt_areas"}
 
 
