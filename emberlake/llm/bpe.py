@@ -39,7 +39,7 @@ NEW, IN_L, IN_N, IN_O, JOIN, IN_W, ONE, TWO = range(8)
 STATES = 8
 BLOCK = 64
 #: Entries of the piece cache of one worker; it starts afresh when full.
-CACHED = 400_000
+CACHED = 200_000
 #: Pieces up to this many bytes merge side by side in arrays, longer ones each through a heap.
 SIDE_BY_SIDE = 48
 #: Above every id; a rank above every rank.

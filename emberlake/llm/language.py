@@ -11,9 +11,9 @@ the inverse square root of the landmarks' own kernel matrix. One ridge regressio
 language against all others is solved on these features. A batch of texts is scored by two
 matrix products: presence by landmarks, then landmarks by languages.
 
-The classifier is fitted on a bounded sample of labelled rows: ``PER_LANGUAGE`` texts of
-each of at most ``LANGUAGES`` most frequent languages, chosen by a hash of id and text. Everything else
-covers all rows.
+The classifier is fitted on a bounded sample of labelled rows, chosen by a hash of id and
+text: at most ``PER_LANGUAGE`` texts of each of the ``LANGUAGES`` most frequent languages and
+about ``SAMPLE`` in all. Everything else covers all rows.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text when there
 is nothing to learn from. The score is the best regression value, kept in 0 to 1; targets
@@ -31,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm.common import crc_of_id, small_batches
@@ -39,11 +39,11 @@ from emberlake.llm.common import crc_of_id, small_batches
 LONGEST = 4
 #: Hash buckets of n-grams of each length.
 BUCKETS = 1 << 15
-PER_LANGUAGE, LANGUAGES = 384, 64
+PER_LANGUAGE, LANGUAGES, SAMPLE = 384, 64, 6144
 LANDMARKS = 256
 RIDGE = 1e-3
 #: Texts scored by one product.
-BATCH = 64
+BATCH = 32
 
 
 @cache
@@ -136,12 +136,17 @@ def learn(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("at")
     )
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    sample = []
+    if not counts:
+        return None
+    each = min(PER_LANGUAGE, max(LANDMARKS // len(counts), SAMPLE // len(counts)))
+    # One more pass: only rows below their language's hash bound go on, about twice as many as are kept.
+    below = F.lit(False)
     for r in counts:
-        # Only rows below a hash bound reach the ordering: about twice as many as are kept.
-        bound = (1 << 40) if r["n"] <= 4 * PER_LANGUAGE else int((1 << 40) * 2 * PER_LANGUAGE / r["n"])
-        sample += [(x["text"], x["lang"]) for x in rows.filter((F.col("lang") == r["lang"]) & (F.col("at") < bound)).orderBy("at", "text").limit(PER_LANGUAGE).collect()]
-    return fit([t for t, _ in sample], [y for _, y in sample])
+        bound = (1 << 40) if r["n"] <= 4 * each else int((1 << 40) * 2 * each / r["n"])
+        below = below | ((F.col("lang") == r["lang"]) & (F.col("at") < bound))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    sample = rows.filter(below).withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("lang", "nth").select("text", "lang").collect()
+    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
