@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.session import cut_lineage
+from emberlake.session import cut_lineage, drop_cut
 
 
 def text_bytes(column: str | Column) -> Column:
@@ -48,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
             hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        state = cut_lineage(small, "edges")
+        before, state = state, cut_lineage(small, "edges")
+        drop_cut(before)
         now = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == size:
             break

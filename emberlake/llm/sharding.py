@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm.common import text_bytes
-from emberlake.session import cut_lineage
+from emberlake.session import cut_lineage, drop_cut
 
 PRIME = 2147483647
 ROUNDS = 4
@@ -64,12 +64,15 @@ def permute(df: DataFrame, column: str, n: int, seed: int = 0, inverse: bool = F
     Walks until no row is left outside the range: a cycle leaves it at most as often as
     there are numbers outside, so the loop ends for every input.
     """
-    df = df.withColumn("_walking", F.lit(True))
+    df, last = df.withColumn("_walking", F.lit(True)), None
     while True:
         df = network(df, column, n, seed, inverse)
         df = df.withColumn(column, F.when(F.col("_walking"), F.col("_next")).otherwise(F.col(column)))
         df = df.withColumn("_walking", F.col("_walking") & (F.col(column) >= n)).drop("_next")
-        df = cut_lineage(df, label)
+        before, df = last, cut_lineage(df, label)
+        if before is not None:
+            drop_cut(before)
+        last = df
         if not df.filter("_walking").agg(F.count(F.lit(1))).first()[0]:
             return df.drop("_walking")
 
