@@ -3,10 +3,15 @@
 A page is cut into blocks at block-level tags. First pass: a block in a container that
 holds menus, headers of a site, footers, sidebars, notices, adverts, forms or comments is
 boilerplate; otherwise its link density, its length and its density of stop words decide
-between text, boilerplate and undecided, and a block inside the page's article is text
-unless it is mostly links. Second pass: undecided short blocks take the label of the nearest
-decided neighbours outside such containers; where the two sides differ, the nearer one
-counts and text wins a tie.
+between text, boilerplate and undecided. Second pass: undecided blocks take the label of the
+nearest decided neighbours outside such containers; where the two sides differ, the nearer
+one counts and text wins a tie.
+
+An article that holds at least half of the long text is a prior in both passes. Inside it a
+block is boilerplate by itself only if links and stop words both say so, or in a run of
+links; outside it a block is text by itself only if it is long and full of stop words. An
+undecided block follows the article unless the decided neighbours of its own kind on both
+sides speak against it.
 
 Scripts, styles, markup and comments of the source never become text. Character references
 are decoded, white space inside a block becomes one space, blocks are joined in page order
@@ -227,29 +232,49 @@ def blocks(source: str) -> list[Block]:
     return out
 
 
-def first_label(block: Block, has_article: bool) -> str:
-    """Rules on one block alone."""
-    if block.outside:
-        return BOILERPLATE
-    share = block.links / len(block.text)
-    if has_article:
-        return TEXT if block.article else BOILERPLATE
-    if share > MAX_LINKS or "©" in block.text[:3]:
+def dealt_label(block: Block) -> str:
+    """Link density, length and stop words of one block alone."""
+    if block.links > MAX_LINKS * len(block.text) or "©" in block.text[:3]:
         return BOILERPLATE
-    words = [w.strip(".,;:!?()\"'").lower() for w in block.text.split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
     if len(block.text) < SHORT:
         return UNDECIDED
+    stops = stop_share(block)
     if stops >= MANY_STOPS or (stops >= FEW_STOPS and len(block.text) >= LONG):
         return TEXT
     return UNDECIDED if stops >= FEW_STOPS or len(block.text) >= LONG else BOILERPLATE
 
 
+def stop_share(block: Block) -> float:
+    words = [w.strip(".,;:!?()\"'").lower() for w in block.text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def first_label(block: Block, has_article: bool) -> str:
+    """Rules on one block; what speaks against the page's article has to be stronger than either alone."""
+    if block.outside:
+        return BOILERPLATE
+    label = dealt_label(block)
+    if not has_article:
+        return label
+    if block.article:
+        linked = len(block.text) >= SHORT and block.links > MAX_LINKS * len(block.text) and stop_share(block) < FEW_STOPS
+        return UNDECIDED if label == BOILERPLATE and not linked else label
+    strong = label == TEXT and len(block.text) >= LONG and stop_share(block) >= MANY_STOPS
+    return UNDECIDED if label == TEXT and not strong else label
+
+
+def article_holds(found: list[Block]) -> bool:
+    """Whether the page has an article that counts: one with at least half of the long text."""
+    inner = [b for b in found if not b.outside]
+    long = [b for b in inner if len(b.text) >= SHORT and b.links <= MAX_LINKS * len(b.text)]
+    return any(b.article for b in inner) and 2 * sum(len(b.text) for b in long if b.article) >= sum(len(b.text) for b in long)
+
+
 def labels(found: list[Block]) -> list[str]:
     """Both passes over a page."""
-    has_article = any(b.article and not b.outside for b in found)
+    has_article = article_holds(found)
     first = [first_label(b, has_article) for b in found]
-    # Inside an article only a run of blocks that are links and nothing else is a menu.
+    # A run of blocks that are links and nothing else is a menu, inside an article too.
     run: list[int] = []
     for i, b in enumerate([*found, None]):
         if b and has_article and b.article and b.links >= 0.9 * len(b.text):
@@ -260,15 +285,24 @@ def labels(found: list[Block]) -> list[str]:
                 first[k] = BOILERPLATE
         run = []
     out = list(first)
-    decided = [i for i, b in enumerate(found) if first[i] != UNDECIDED and not b.outside]
-    k = 0  # decided[k] is the next decided block
-    for i, label in enumerate(first):
-        while k < len(decided) and decided[k] < i:
-            k += 1
-        if label == UNDECIDED:
+    # With an article, blocks inside and outside of it have neighbours of their own kind only.
+    for kind in (True, False) if has_article else (None,):
+        own = [i for i, b in enumerate(found) if kind is None or b.article == kind]
+        decided = [i for i in own if first[i] != UNDECIDED and not found[i].outside]
+        k = 0  # decided[k] is the next decided block
+        for i in own:
+            while k < len(decided) and decided[k] < i:
+                k += 1
+            if first[i] != UNDECIDED:
+                continue
             sides = [(abs(i - j), first[j] != TEXT, first[j]) for j in decided[max(0, k - 1) : k + 1]]
-            # Without a decided neighbour there is nothing to tell the block from.
-            out[i] = min(sides)[2] if sides else TEXT
+            if kind is None:
+                # Without a decided neighbour there is nothing to tell the block from.
+                out[i] = min(sides)[2] if sides else TEXT
+            else:  # the article's word holds unless both sides speak against it
+                prior, other = (TEXT, BOILERPLATE) if kind else (BOILERPLATE, TEXT)
+                against = 0 < k < len(decided) and all(label == other for _, _, label in sides)
+                out[i] = other if against else prior
     return out
 
 

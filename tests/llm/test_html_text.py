@@ -65,3 +65,15 @@ def test_whole_pages(spark):
         body = re.search(r"<article>(.*?)(?:</article>|<[^<>]*\Z|\Z)", source[r.page_id], re.S)
         plain = re.sub(r"</?(?:p|h1|br)>", " ", re.sub(r"</?b>", "", body[1] if body else ""))
         assert r.text == re.sub(r"\s+", " ", html.unescape(plain)).strip() and r.n_chars == len(r.text)
+
+
+LINKS = "<p><a>" + "Partner offer number seven click here " * 4 + "</a></p>"
+OFFER = " ".join(["Partner offer number seven click here"] * 4)
+
+
+def test_rules_run_inside_and_outside_of_an_article():
+    """The article is a prior: both passes judge its blocks and those beside it."""
+    assert H.main_text(f"<article><p>{LONG}</p>{LINKS}<p>Ad</p>{LINKS}<p>{LONG}</p></article>") == f"{LONG.strip()} {LONG.strip()}"
+    assert H.main_text(f"<article><p>Teaser</p></article><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>") == f"Teaser {LONG.strip()} Short. {LONG.strip()}"
+    assert H.main_text(f"<article><p>{LONG * 3}</p></article><p>{LONG}</p><p>Short.</p>") == f"{LONG.strip()} " * 3 + LONG.strip()
+    assert H.main_text(f"<article><p>{LONG}</p><p>{'Zażółć gęślą jaźń. ' * 20}</p></article>").endswith("jaźń.")
