@@ -7,6 +7,11 @@ between text, boilerplate and undecided. Second pass: undecided blocks take the
 nearest decided neighbours outside such containers; where the two sides differ, the nearer
 one counts and text wins a tie.
 
+A word in class, id or role marks a container only where the container doesn't hold most of
+the text in article and main elements, nor, with no text in such elements beside it, most of
+what the rules on single blocks call text and a long block's worth of it: themes name a sidebar or comments in the wrapper
+of the whole page. Such a wrapper is judged by its blocks.
+
 An article that holds at least half of the long text is a prior in both passes. Inside it a
 block is boilerplate by itself only if links and stop words both say so, or in a run of
 links; outside it a block is text by itself only if it is long and full of stop words. An
@@ -28,6 +33,7 @@ import html
 import re
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +72,8 @@ porque qué si sin sobre su sus también todo un una uno y ya yo""".split())
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.4, 70, 200, 0.10, 0.22
 #: Link-only blocks in a row that make a menu inside an article.
 MENU = 3
+#: A marked wrapper has so many times the text of the articles beside it, or it isn't the page's layout.
+BESIDE = 4
 TEXT, BOILERPLATE, UNDECIDED = "text", "boilerplate", "undecided"
 
 _NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
@@ -135,53 +143,105 @@ class Block(NamedTuple):
     links: int  # characters inside links
     article: bool
     outside: bool  # inside a container that holds no main text
+    barred: bool = False  # ... whatever words in class, id or role say
+
+
+class Wrapper(NamedTuple):
+    """A container that only a word in its class, id or role marks, by the blocks and articles opened and closed inside it."""
 
+    start: int  # of its tag in the source
+    block: int
+    article: int
+    block_end: int
+    article_end: int
 
-def _role(name: str, attributes: str, in_article: bool) -> str | None:
-    """What an opening tag says about its content."""
+
+def _role(name: str, attributes: str, in_article: bool) -> tuple[str | None, str | None]:
+    """What an opening tag says about its content, and what it says without the words that mark boilerplate."""
     if name in RAW:
-        return "raw"
+        return "raw", "raw"
     if name in BOILERPLATE_TAGS or (name == "header" and not in_article):
-        return BOILERPLATE
+        return BOILERPLATE, BOILERPLATE
     if name in ("html", "body"):
-        return None
+        return None, None
+    plain = "article" if name in ARTICLE_TAGS else None
     if attributes:
         if _HIDDEN.search(attributes):
-            return BOILERPLATE
+            return BOILERPLATE, BOILERPLATE
         words = {w for m in _MARKS.finditer(attributes) for w in _SEPARATORS.split((m[1] or m[2] or m[3] or "").lower())}
         marks = words & BOILERPLATE_WORDS
         if in_article or words & ARTICLE_WORDS:
             marks -= {"header"}  # the heading of an article, not of the site
+            plain = "article" if words & ARTICLE_WORDS else plain
         if name not in ARTICLE_TAGS and marks:
-            return BOILERPLATE
-        if words & ARTICLE_WORDS:
-            return "article"
-    return "article" if name in ARTICLE_TAGS else None
+            return BOILERPLATE, plain
+    return plain, plain
 
 
 def blocks(source: str) -> list[Block]:
     """Blocks of a page in order, without empty ones."""
+    found, homes, wrappers = _parse(source, frozenset())
+    wrong = _layout(found, homes, wrappers) if wrappers else frozenset()
+    return _parse(source, wrong)[0] if wrong else found
+
+
+def _layout(found: list[Block], homes: list[int], wrappers: list[Wrapper]) -> frozenset[int]:
+    """Tags of marked wrappers that hold most of the text in article and main elements, or most of the page's text by the rules on blocks.
+
+    A word there tells of the page's layout. ``homes`` are the articles of blocks, -1 without one.
+    """
+    n = max([*homes, *(w.article_end - 1 for w in wrappers), -1]) + 1
+    articles, text, homed, all_homed = np.zeros(n + 1, np.int64), *np.zeros((3, len(found) + 1), np.int64)
+    for i, (b, home) in enumerate(zip(found, homes)):
+        text[i + 1] = len(b.text) if dealt_label(b) == TEXT and not b.barred else 0
+        if home >= 0 and not b.barred:
+            articles[home + 1] += len(b.text)
+            homed[i + 1], all_homed[i + 1] = text[i + 1], len(b.text)
+    articles, text, homed, all_homed = np.cumsum(articles), np.cumsum(text), np.cumsum(homed), np.cumsum(all_homed)
+    out = set()
+    for w in wrappers:
+        held = 2 * (articles[w.article_end] - articles[w.article]) > articles[-1]
+        own, apart, short = (x[w.block_end] - x[w.block] for x in (text, homed, all_homed))
+        # An article beside it has text of its own, by the rules or by its share.
+        elsewhere = homed[-1] > apart or BESIDE * (all_homed[-1] - short) > own
+        if held or (own >= LONG and 2 * own > text[-1] and not elsewhere):
+            out.add(w.start)
+    return frozenset(out)
+
+
+def _parse(source: str, layout: frozenset[int]) -> tuple[list[Block], list[int], list[Wrapper]]:
+    """Blocks, their innermost article or main elements, and marked wrappers; at the tags ``layout`` marking words don't count."""
     out: list[Block] = []
+    homes: list[int] = []
+    wrappers: list[Wrapper] = []
+    inside: list[int] = []  # open article and main elements
+    articles = 0
     parts: list[str] = []
     linked: list[str] = []
-    open_: list[tuple[str, str | None]] = []
+    open_: list[tuple[str, str | None, Wrapper | None, bool]] = []
     depth: dict[str, int] = {}
-    count = {"article": 0, BOILERPLATE: 0, "raw": 0, "a": 0}
+    count = {"article": 0, BOILERPLATE: 0, "raw": 0, "a": 0, "marked": 0}
 
     def end() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             links = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip())
-            out.append(Block(text, links, count["article"] > 0, count[BOILERPLATE] > 0))
+            out.append(Block(text, links, count["article"] > 0, count[BOILERPLATE] > 0, count[BOILERPLATE] > count["marked"]))
+            homes.append(inside[-1] if inside else -1)
         parts.clear()
         linked.clear()
 
     def close(k: int) -> None:
         while len(open_) > k:
-            name, role = open_.pop()
+            name, role, wrapper, own = open_.pop()
             depth[name] -= 1
             if role:
                 count[role] -= 1
+            if wrapper:
+                count["marked"] -= 1
+                wrappers.append(wrapper._replace(block_end=len(out), article_end=articles))
+            if own:
+                inside.pop()
             if name == "a":
                 count["a"] -= 1
 
@@ -220,8 +280,18 @@ def blocks(source: str) -> list[Block]:
                 break
         if name == "body":  # a head that was never closed ends here
             close(0)
-        role = _role(name, attributes, count["article"] > 0)
-        open_.append((name, role))
+        role, plain = _role(name, attributes, count["article"] > 0)
+        wrapper = None
+        if start in layout:
+            role = plain
+        elif role != plain:
+            wrapper = Wrapper(start, len(out), articles, 0, 0)
+            count["marked"] += 1
+        own = name in ARTICLE_TAGS and role == "article"
+        if own:
+            inside.append(articles)
+            articles += 1
+        open_.append((name, role, wrapper, own))
         depth[name] = depth.get(name, 0) + 1
         if role:
             count[role] += 1
@@ -229,7 +299,8 @@ def blocks(source: str) -> list[Block]:
             count["a"] += 1
     add(source[at:])
     end()
-    return out
+    close(0)
+    return out, homes, wrappers
 
 
 def dealt_label(block: Block) -> str:

@@ -77,3 +77,25 @@ def test_rules_run_inside_and_outside_of_an_article():
     assert H.main_text(f"<article><p>Teaser</p></article><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>") == f"Teaser {LONG.strip()} Short. {LONG.strip()}"
     assert H.main_text(f"<article><p>{LONG * 3}</p></article><p>{LONG}</p><p>Short.</p>") == f"{LONG.strip()} " * 3 + LONG.strip()
     assert H.main_text(f"<article><p>{LONG}</p><p>{'Zażółć gęślą jaźń. ' * 20}</p></article>").endswith("jaźń.")
+
+
+@pytest.mark.parametrize("mark", ["site has-sidebar", "content no-sidebar", "post comments-open", "page with-menu"])
+def test_words_in_a_wrapper_of_the_page_do_not_mark_its_text(mark):
+    side = "<div class=sidebar><p>About us</p></div>"
+    comments = f"<div class=comments><article class=comment><p>{LONG}</p></article></div>"
+    assert H.main_text(f"<div class='{mark}'>{side}<article><h1>Title</h1><p>t</p></article></div>") == "Title t"
+    assert H.main_text(f"<div class='{mark}'><div class='{mark}'><p>{LONG}</p><p>Short one.</p></div>{side}</div>") == f"{LONG.strip()} Short one."
+    assert H.main_text(f"<main><div class='{mark}'><article><p>{LONG * 2}</p></article></div></main>") == (LONG * 2).strip()
+    assert H.main_text(f"<article><div class='{mark}'><p>{LONG}</p></div><div class=comments>no</div></article>") == LONG.strip()
+    assert H.main_text(f"<article><p>{LONG}</p><div class=comments><p>{LONG * 2}</p></div></article>") == LONG.strip()
+    assert H.main_text(f"<main><article><p>{LONG * 2}</p></article>{comments}</main>") == (LONG * 2).strip()
+    assert H.main_text(f"<div class=ad>{LONG[:90]}</div><article><p>Short text.</p></article>") == "Short text."
+    assert H.main_text(f"<article><h1>Title</h1><div class='{mark}'><p>{LONG}</p></div></article>") == f"Title {LONG.strip()}"
+
+
+def test_nested_wrappers_cost_linear_time():
+    import time
+
+    start = time.time()
+    H.main_text("<div class=no-sidebar><p>x" * 20000)
+    assert time.time() - start < 10
