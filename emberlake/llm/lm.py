@@ -11,10 +11,10 @@ token of every text, seen or not, has a normalised probability:
 The log-bilinear model predicts a unit's vector from the two units before it (a text starts
 after ends): the context vectors, scaled per position and dimension, are added and multiplied
 with the target vectors, plus a bias. It is trained in numpy on the counts of all
-training trigrams of units: each partition counts its trigrams and takes gradient steps of
-the noise-contrastive objective against unigram noise; parameters are averaged over
-partitions by their token counts, over ``ROUNDS`` rounds. No training text is left out, so
-what is gathered grows with the corpus.
+training trigrams of units: each partition counts its trigrams and goes through all of its
+contexts in each round with gradient steps of the noise-contrastive objective against unigram
+noise, a context's steps weighing its count; parameters are averaged over partitions by their
+token counts, over ``ROUNDS`` rounds. No training text and no trigram is left out.
 
 Scoring multiplies matrices in batches: context by target scores per position are two small
 tables, and the normaliser of each distinct context is one log-sum-exp over all units.
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from emberlake.llm.common import crc_of_id, small_batches, text_bytes
 from emberlake.session import cut_lineage
 
+#: Gradient steps of a partition's round are those that its contexts take, ``STEPS`` at least.
 #: Units of the model with the end (0) and the unit of all rare words (1), its dimensions.
 UNITS, DIM = 512, 32
 #: Most words in the dictionary every task holds, and the longest of them in bytes: 20 MB at most.
@@ -128,9 +129,10 @@ class Model(NamedTuple):
 def train(model: Model, share: np.ndarray, trigrams: np.ndarray, weight: np.ndarray, rate: float, seed: int, steps: int | None = None) -> Model:
     """Steps of noise-contrastive estimation over distinct trigrams (one before, two before, unit) and their counts.
 
-    ``trigrams`` are sorted by context. A step draws contexts in proportion to their counts and
-    takes for each the observed units against ``NOISE`` noise units per observation; both are
-    expectations over all units, so only the choice of contexts is random. Steps follow Adam.
+    ``trigrams`` are sorted by context. Steps go through a random order of all contexts, see
+    ``turns``, so there are as many as it takes, ``steps`` (``STEPS``) at least. A step takes for
+    each context the observed units against ``NOISE`` noise units per observation; both are
+    expectations over all units, so only the order of contexts is random. Steps follow Adam.
     """
     random = np.random.default_rng(seed)
     n = len(share)
@@ -138,19 +140,20 @@ def train(model: Model, share: np.ndarray, trigrams: np.ndarray, weight: np.ndar
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.append(start, len(key)))
     mass = np.add.reduceat(weight, start)
-    cumulated = np.cumsum(mass)
+    turn, load = turns(mass, (steps or STEPS) * BATCH, random)
+    last = -(-len(turn) // BATCH)
     one, two = trigrams[start, 0], trigrams[start, 1]
     part = (weight / np.repeat(mass, length)).astype(np.float32)
     params = [x.astype(np.float32).copy() for x in model]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     noise = (NOISE * share).astype(np.float32)
-    for step in range(1, (steps or STEPS) + 1):
+    for step in range(1, last + 1):
         r, q, c, b = params
-        drawn = np.searchsorted(cumulated, random.random(BATCH) * cumulated[-1], "right")
-        at, times = np.unique(np.minimum(drawn, len(start) - 1), return_counts=True)
+        drawn = turn[(step - 1) * BATCH : step * BATCH]
+        at, times = np.unique(drawn, return_counts=True)
         rows = np.repeat(np.arange(len(at)), length[at])
         flat = np.arange(length[at].sum()) - np.repeat(np.cumsum(length[at]) - length[at], length[at]) + np.repeat(start[at], length[at])
-        times = times.astype(np.float32)[:, None]
+        times = (times * load[at]).astype(np.float32)[:, None]
         seen = np.zeros((len(at), n), np.float32)
         seen[rows, trigrams[flat, 2]] = part[flat]
         r1, r2 = r[one[at]], r[two[at]]
@@ -160,7 +163,7 @@ def train(model: Model, share: np.ndarray, trigrams: np.ndarray, weight: np.ndar
         d_guess = up @ q
         d_r = _sums(one[at], d_guess * c[0], n) + _sums(two[at], d_guess * c[1], n)
         d_c = np.stack([(d_guess * r1).sum(0), (d_guess * r2).sum(0)])
-        now = rate * min(1, 4 * (1 - step / ((steps or STEPS) + 1)))
+        now = rate * min(1, 4 * (1 - step / (last + 1)))
         for x, m, v, d in zip(params, first, second, (d_r, up.T @ guess, d_c, up.sum(0))):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -168,6 +171,17 @@ def train(model: Model, share: np.ndarray, trigrams: np.ndarray, weight: np.ndar
     return Model(*params)
 
 
+def turns(mass: np.ndarray, least: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts in random order, ``least`` turns at least, and the weight of one turn of each, 1 on average.
+
+    Every context has one turn at least and turns in proportion to its count at most rounded up;
+    its turns weigh its count together, so a whole pass has the gradient of all trigrams.
+    """
+    often = np.ceil(mass * (max(least, len(mass)) / mass.sum())).astype(np.int64).clip(1)
+    turn = random.permutation(np.repeat(np.arange(len(mass), dtype=np.int32), often))
+    return turn, mass / often * (len(turn) / mass.sum())
+
+
 def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of ``rows`` by index."""
     order = np.argsort(index, kind="stable")

@@ -78,3 +78,22 @@ def test_nothing_to_learn_from(spark):
     got = lm.score(df, F.lit(True)).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
     assert lm.score(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_every_trigram_enters_a_gradient():
+    """However rare a context is and however few the steps, its vector is learned."""
+    n = 3000
+    grams = np.array([[k, k, (k + 1) % n] for k in range(n)])
+    weight = np.ones(n)
+    weight[0] = 1e9
+    start = lm.Model.start(np.full(n, 1 / n))
+    model = lm.train(start, np.full(n, 1 / n), grams, weight, 0.02, 0, 1)
+    assert (model.context != start.context.astype(np.float32)).any(1).all()
+
+
+def test_turns_weigh_counts():
+    mass = np.array([1e6, 50.0, 1.0, 1.0, 3.0])
+    for least in (1, 4, 1000):
+        turn, load = lm.turns(mass, least, np.random.default_rng(0))
+        often = np.bincount(turn, minlength=5)
+        assert len(turn) >= least and often.min() >= 1 and np.allclose(often * load / len(turn), mass / mass.sum())
