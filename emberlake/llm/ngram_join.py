@@ -2,15 +2,15 @@
 
 Shingles are runs of five words (ASCII lower case, words are runs without ASCII white
 space); a text of one to four words is one shingle. Two texts are linked when the Jaccard
-similarity of their shingle sets is 0.8 or more.
+similarity of their shingle sets is 0.8 or more. Another threshold moves every bound; one
+that the forest cannot serve with the target probability is an error.
 
 Equal texts are folded first. Every text gets ``TREES * DEPTH`` min-hashes of one byte, a
 tree of the forest being a run of ``DEPTH`` of them: texts sorted by this run form a prefix
 trie, and texts under one inner node share a prefix. Matching starts with whole runs and
 shortens them until a pair at the threshold meets in some tree with at least the target
 probability. Whole runs and shortened prefixes give tight clusters: each text is tied to
-the first text under its node where a sketch of 256 bits leaves a similarity of 0.8
-possible; the sketch bound is over five standard deviations wide. Clusters only organise
+the first text under its node where a sketch of 256 bits leaves the threshold possible; the sketch bound is over five standard deviations wide. Clusters only organise
 the work. Candidates are then all pairs inside a cluster and all pairs of clusters that
 meet under a shortened prefix and whose sketches leave a link possible.
 
@@ -42,8 +42,8 @@ THRESHOLD = 0.8
 TREES, DEPTH = 32, 8
 HASHES = TREES * DEPTH
 TARGET_RECALL = 0.9999
-#: Differing bits of 256 up to which two texts may be links: similarity 0.8 differs in 25.6 bits with a deviation of 4.8.
-POSSIBLE_BITS = 51
+#: Deviations above the mean of differing sketch bits up to which two texts may be links.
+DEVIATIONS = 5.3
 #: Texts in a chunk: small while a cluster has few chunks, never more than the larger bound on average.
 SMALL_CHUNK, LARGE_CHUNK = 32, 128
 
@@ -53,13 +53,24 @@ BROADCAST_ROWS = 500_000
 
 
 def depth_for(threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> int:
-    """Longest prefix at which a pair at the threshold shares one in some tree with the target probability."""
+    """Longest prefix at which a pair at the threshold shares one in some tree with the target probability.
+
+    A threshold that no prefix serves is an error.
+    """
+    if not 0 < threshold <= 1 or 1 - (1 - threshold) ** TREES < recall:
+        raise ValueError(f"threshold {threshold}: {TREES} trees do not reach a recall of {recall}")
     depth = DEPTH
     while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
         depth -= 1
     return depth
 
 
+def possible_bits(threshold: float = THRESHOLD) -> int:
+    """Differing bits of 256 up to which two texts may be links: similarity 0.8 differs in 25.6 bits with a deviation of 4.8, so up to 51."""
+    p = (1 - threshold) / 2
+    return int(HASHES * p + DEVIATIONS * (HASHES * p * (1 - p)) ** 0.5)
+
+
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -165,17 +176,17 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_bits(a), _bits(b))), F.lit(0))
 
 
-def _ties(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+def _ties(shared: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(u, v): texts much like the first text under one of their trie nodes."""
     whole = shared.groupBy("tree", "run").agg(F.min("node").alias("first")).join(shared.select("tree", "run", "node"), ["tree", "run"])
     stars = shared.select("node", "lead").union(whole.select("node", F.col("first").alias("lead"))).filter("node <> lead").distinct()
     sketch = nodes.select("node", *_bits("b"))
     lead = sketch.toDF("lead", *_bits("c"))
     met = stars.join(sketch, "node").join(lead, "lead")
-    return met.filter(_differing("b", "c") <= POSSIBLE_BITS).select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    return met.filter(_differing("b", "c") <= possible_bits(threshold)).select(F.col("node").alias("u"), F.col("lead").alias("v"))
 
 
-def _cluster_pairs(shared: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+def _cluster_pairs(shared: DataFrame, nodes: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """(a, b) with a < b: clusters that meet under a prefix and may hold a link there.
 
     Of the members under one trie node only the bits that all of them share and their
@@ -192,14 +203,14 @@ def _cluster_pairs(shared: DataFrame, nodes: DataFrame, clusters: DataFrame) ->
         "trie-sides",
     )
     a, b = sides.alias("a"), sides.alias("b")
-    apart = F.lit(0)
+    apart, least = F.lit(0), threshold * (1 - 1e-9)  # a product just above a whole number drops no pair at the threshold
     for i in range(4):
         one = F.col(f"a.all{i}").bitwiseAND(F.bitwise_not(F.col(f"b.any{i}")))
         two = F.col(f"b.all{i}").bitwiseAND(F.bitwise_not(F.col(f"a.any{i}")))
         apart = apart + F.bit_count(one.bitwiseOR(two))
     possible = (
-        (F.col("a.tree") == F.col("b.tree")) & (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.cluster") < F.col("b.cluster")) & (apart <= POSSIBLE_BITS)
-        & (F.col("a.high") >= THRESHOLD * F.col("b.low")) & (F.col("b.high") >= THRESHOLD * F.col("a.low"))
+        (F.col("a.tree") == F.col("b.tree")) & (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.cluster") < F.col("b.cluster")) & (apart <= possible_bits(threshold))
+        & (F.col("a.high") >= least * F.col("b.low")) & (F.col("b.high") >= least * F.col("a.low"))
     )
     return a.join(b, possible).select(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).distinct()
 
@@ -337,8 +348,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     runs = runs.withColumn("tree", F.col("tree").cast("byte"))
     meeting = runs.groupBy("tree", "prefix").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     shared = cut_lineage(runs.join(meeting, ["tree", "prefix"]), "trie-nodes")
-    clusters = cut_lineage(components(_ties(shared, nodes)).toDF("node", "cluster"), "clusters")
-    pairs = cut_lineage(_cluster_pairs(shared, nodes, clusters), "cluster-pairs")
+    clusters = cut_lineage(components(_ties(shared, nodes, threshold)).toDF("node", "cluster"), "clusters")
+    pairs = cut_lineage(_cluster_pairs(shared, nodes, clusters, threshold), "cluster-pairs")
 
     lone = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(clusters, "node", "left_anti")
     members = clusters.union(lone.select("node", F.col("node").alias("cluster")))

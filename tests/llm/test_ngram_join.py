@@ -81,3 +81,23 @@ def test_word_hashes_separate_words():
     powers = N.Powers()
     a, b = N.word_hashes(b" one TWO  three", powers), N.word_hashes(b"three\ttwo one", powers)
     assert a.tolist() == b.tolist()[::-1] and len(set(a.tolist())) == 3 and not len(N.word_hashes(b" \n", powers))
+
+
+def test_lower_thresholds_equal_brute_force(spark):
+    """Bounds on sketch bits and sizes follow the threshold."""
+    rows = []
+    for k in range(60):
+        base = text(100)
+        rows += [base, " ".join(base.split()[: 62 + k % 8])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [shingles(t) for t in rows]
+    want = {i: sum(len(s & t) / len(s | t) >= 0.6 for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)}
+    assert sum(want.values()) > 100
+    assert {r.doc_id: r.n_links for r in N.classes(df, 0.6).collect()} == want
+
+
+def test_thresholds_out_of_reach_are_errors():
+    assert (N.possible_bits(0.8), N.possible_bits(0.6), N.depth_for()) == (51, 85, 6)
+    for threshold in (0.1, 0.0, 1.5):
+        with pytest.raises(ValueError):
+            N.depth_for(threshold)
