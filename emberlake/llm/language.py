@@ -11,9 +11,10 @@ the inverse square root of the landmarks' own kernel matrix. One ridge regressio
 language against all others is solved on these features. A batch of texts is scored by two
 matrix products: presence by landmarks, then landmarks by languages.
 
-The classifier is fitted on a bounded sample of labelled rows, chosen by a hash of id and
-text: at most ``PER_LANGUAGE`` texts of each of the ``LANGUAGES`` most frequent languages and
-about ``SAMPLE`` in all. Everything else covers all rows.
+The classifier is fitted on a sample of labelled rows, chosen by a hash of id and text: at
+most ``PER_LANGUAGE`` texts of each language and about ``SAMPLE`` in all, but ``LEAST`` of each
+language where it has them. Every language is learned: each has a landmark and a regression,
+so the model grows with the number of languages. Everything else covers all rows.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text when there
 is nothing to learn from. The score is the best regression value, kept in 0 to 1; targets
@@ -33,13 +34,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from emberlake.llm.common import crc_of_id, small_batches
 
 LONGEST = 4
 #: Hash buckets of n-grams of each length.
 BUCKETS = 1 << 15
-PER_LANGUAGE, LANGUAGES, SAMPLE = 384, 64, 6144
+PER_LANGUAGE, LEAST, SAMPLE = 384, 16, 6144
 LANDMARKS = 256
 RIDGE = 1e-3
 #: Texts scored by one product.
@@ -131,21 +133,19 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
 
 
 def learn(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on a bounded sample of the labelled rows where ``use`` holds."""
+    """Fit on a sample of the labelled rows of every language where ``use`` holds."""
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("at")
     )
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
-    each = min(PER_LANGUAGE, max(LANDMARKS // len(counts), SAMPLE // len(counts)))
+    each = min(PER_LANGUAGE, max(LEAST, SAMPLE // len(counts)))
     # One more pass: only rows below their language's hash bound go on, about twice as many as are kept.
-    below = F.lit(False)
-    for r in counts:
-        bound = (1 << 40) if r["n"] <= 4 * each else int((1 << 40) * 2 * each / r["n"])
-        below = below | ((F.col("lang") == r["lang"]) & (F.col("at") < bound))
+    bounds = [(r["lang"], (1 << 40) if r["n"] <= 4 * each else int((1 << 40) * 2 * each / r["n"])) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(bounds, StructType([rows.schema["lang"], StructField("bound", LongType())]))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    sample = rows.filter(below).withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("lang", "nth").select("text", "lang").collect()
+    sample = rows.join(F.broadcast(bounds), "lang").filter("at < bound").withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("lang", "nth").select("text", "lang").collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """(doc_id, lang_pred, score) of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LONGEST * BUCKETS x LANDMARKS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LONGEST * BUCKETS numbers for each of LANDMARKS texts, or of as many as there are languages
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,3 +55,16 @@ def test_nothing_to_learn_from(spark):
     assert L.learn(df, F.lit(True)) is None
     assert {(r.lang_pred, r.score) for r in L.identify(df, None).collect()} == {("und", 0.0)}
     assert L.identify(df.limit(0), None).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """The rarest of many languages too."""
+    random = np.random.default_rng(3)
+    rows = []
+    for k in range(80):
+        words = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(random.permutation(words)), f"l{k:02}") for i in range(4 if k < 70 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(df, F.lit(True))
+    assert model.languages == [f"l{k:02}" for k in range(80)]
+    assert L.predictions([t for _, t, _ in rows], model)[0] == [y for _, _, y in rows]
