@@ -6,10 +6,10 @@ similarity of their shingle sets is 0.8 or more. Another threshold moves every b
 that the forest cannot serve with the target probability is an error.
 
 Equal texts are folded first. Every text gets ``TREES * DEPTH`` min-hashes of one byte, a
-tree of the forest being a run of ``DEPTH`` of them: texts sorted by this run form a prefix
-trie, and texts under one inner node share a prefix. Matching starts with whole runs and
-shortens them until a pair at the threshold meets in some tree with at least the target
-probability. Whole runs and shortened prefixes give tight clusters: each text is tied to
+tree of the forest being a run of ``DEPTH`` of them; texts under one node share a prefix of
+it. One length of prefixes is computed from the threshold, before any text is read: the longest
+at which a pair at the threshold meets in some tree with at least the target probability. No
+sorted trie is walked; texts meet by grouping. Whole runs and shortened prefixes give tight clusters: each text is tied to
 the first text under its node where a sketch of 256 bits leaves the threshold possible; the sketch bound is over five standard deviations wide. Clusters only organise
 the work. Candidates are then all pairs inside a cluster and all pairs of clusters that
 meet under a shortened prefix and whose sketches leave a link possible.
