@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ngram_join", "language", "embedding_dedup", "sharding", "topk", "warc", "lm", "bpe", "html_text", "mixing"]
+MODULES = ["ngram_join", "language", "embedding_dedup", "sharding", "topk", "warc", "lm", "bpe", "html_text", "mixing", "resampling", "packing", "whitening"]
 
 
 def _merged(attribute: str) -> dict:
