@@ -24,6 +24,7 @@ gives an empty result; a null id stays null. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -61,40 +62,36 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(signs[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x100)]}
 
 
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers."""
+class Encoder(dict):
+    """Ids of whole texts as little-endian 32-bit integers; as a dictionary, the ids of parts met before."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.signs = self.tokenizer.model, byte_letters()
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, fresh: set[str]) -> None:
-        others = []
-        for part in fresh:
-            if WORD.fullmatch(part):
-                self.known[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.signs))])
-            else:
-                others.append(part)
-        for i in range(0, len(others), 1024):
-            batch = others[i : i + 1024]
-            for part, out in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.known[part] = b"".join([n.to_bytes(4, "little") for n in out.ids])
+        self.space = self.signs[32]
 
-    def encode(self, text: str) -> bytes:
-        parts = parts_of(text)
-        fresh = set(parts).difference(self.known)
-        self._learn(fresh)
-        ids = b"".join(map(self.known.__getitem__, parts))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def __missing__(self, part: str) -> bytes:
+        if WORD.fullmatch(part):
+            signs = part.translate(self.signs) if not part.isascii() else self.space + part[1:] if part[0] == " " else part
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(signs)])
         else:
-            for part in fresh:
-                if len(part) > REMEMBERED_LETTERS:
-                    del self.known[part]
+            ids = b"".join([n.to_bytes(4, "little") for n in self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids])
+        if len(part) <= REMEMBERED_LETTERS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, parts_of(text)))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, so that tasks after the first find most words known."""
+    return Encoder(path)
+
 
 class Windows:
     """Open windows by the room they have left."""
@@ -250,7 +247,7 @@ def packed(
     last = end.to_bytes(4, "little")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, first = Encoder(path), TaskContext.get().partitionId() << 33
+        encoder, first = encoder_of(path), TaskContext.get().partitionId() << 33
 
         def documents():
             for frame in frames:
