@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from emberlake.functions import fixed, geo
@@ -59,16 +60,71 @@ def minute_counts(stream: DataFrame, stamp: str = "observed_at", late: str = "14
 
 
 def daily_counts(stream: DataFrame, stamp: str = "observed_at", late: str = "14 days") -> DataFrame:
-    """Detections per Madrid day (twin of ``civil.local_days``).
+    """Per Madrid day: moments, detections, first and last minute (twin of ``civil.local_days`` over its timeline).
 
-    The hour windows carry the watermark; a day is the sum of its hours downstream.
+    Two chained aggregations in append mode: minutes, then days of the minutes that are
+    complete. Event time is local, so a day of 23 or 25 hours is one window; minutes of the
+    repeated hour stay apart by their distance from UTC. A day appears once the watermark,
+    which is local time too, has passed it.
     """
-    local = stream.withWatermark(stamp, late)
-    return local.groupBy(F.window(stamp, "1 hour")).agg(F.count(F.lit(1)).alias("detections")).select(
-        F.to_date(F.from_utc_timestamp(F.col("window.start"), "Europe/Madrid")).alias("day"), "detections"
+    local = stream.withColumn("_local", F.from_utc_timestamp(F.col(stamp), "Europe/Madrid"))
+    shift = F.unix_micros("_local") - F.unix_micros(stamp)
+    minutes = local.withColumn("_shift", shift).withWatermark("_local", late).groupBy(F.window("_local", "1 minute"), "_shift").agg(F.count(F.lit(1)).alias("_n"))
+    minutes = minutes.select(F.window_time("window").alias("_at"), F.timestamp_micros(F.unix_micros("window.start") - F.col("_shift")).alias("_minute"), "_n")
+    return minutes.groupBy(F.window("_at", "1 day").alias("day")).agg(
+        F.count(F.lit(1)).alias("moments"), F.sum("_n").alias("detections"), F.min("_minute").alias("observed_from"), F.max("_minute").alias("_last")
+    ).select(
+        F.to_date("day.start").alias("day"), "moments", "detections", "observed_from", (F.col("_last") + F.expr("INTERVAL '59.999' SECOND")).alias("observed_to")
     )
 
 
+def split_late(spark: SparkSession, root: str, stamp: str = "observed_at", delay_us: int = 14 * 86_400_000_000) -> Callable[[DataFrame, int], None]:
+    """Sink that keeps rows behind the watermark as dead letters instead of losing them.
+
+    A row is late if it is older than the newest row of all earlier batches by more than the
+    delay, which is the bound a watermark of that delay has. Kept rows go to ``root``/kept,
+    late ones to ``root``/late, the newest stamp of a batch to ``root``/newest; every batch
+    has its own folders, so a repeated batch replaces itself. Rows without a stamp are kept.
+    """
+    schema = "batch long, newest long"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        path = root.rstrip("/")
+        rows = batch.persist()
+        known = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/newest") if number else spark.createDataFrame([], schema)
+        newest = known.filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        late = F.coalesce(F.unix_micros(stamp) < F.lit(None if newest is None else newest - delay_us).cast("long"), F.lit(False))
+        rows.filter(~late).write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
+        rows.filter(late).withColumn("rule", F.lit("behind_watermark")).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        rows.agg(F.max(F.unix_micros(stamp)).alias("newest")).select(F.lit(number).cast("long").alias("batch"), "newest").write.mode("overwrite").parquet(f"{path}/newest/batch={number}")
+        rows.unpersist()
+
+    return apply
+
+
+class RowLosses(StreamingQueryListener):
+    """Rows that queries received and that their stateful operators dropped behind the watermark, by query name or id."""
+
+    def __init__(self) -> None:
+        self.received: Counter[str] = Counter()
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event: Any) -> None:
+        pass
+
+    def onQueryProgress(self, event: Any) -> None:
+        progress = event.progress
+        name = progress.name or str(progress.id)
+        self.received[name] += progress.numInputRows
+        self.dropped[name] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
+
+
 def witnesses(stream: DataFrame) -> DataFrame:
     """Number of authorities per incident, updated as reports arrive (twin of ``osint.promote_witnesses``).
 

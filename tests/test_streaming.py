@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from emberlake.functions import geo
@@ -31,8 +33,59 @@ def test_dedupe_and_minute_counts_agree_with_batch(spark, tmp_path):
     minutes = run(jobs.minute_counts(stream, late="0 seconds"), tmp_path, "minutes", "update")
     final = minutes.groupBy("observed_at").agg(F.max("count").alias("count"))
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, civil.detection_timeline(batch).collect()))
-    days = run(jobs.daily_counts(stream, late="0 seconds"), tmp_path, "days", "update")
-    assert days.select("day").distinct().count() == 1
+
+
+def at(spark, stamps):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(stamps)], "id long, t string")
+    return df.withColumn("observed_at", F.col("t").cast("timestamp")).drop("t")
+
+
+def test_days_of_hours_agree_with_batch_over_both_time_changes(spark, tmp_path):
+    stamps = ["2026-03-28 22:59:59", "2026-03-28 23:00:00", "2026-03-29 00:59:00", "2026-03-29 21:59:30", "2026-03-29 22:00:00", "2026-10-24 22:00:00",
+              "2026-10-25 00:30:10", "2026-10-25 01:30:10", "2026-10-25 01:30:50", "2026-10-25 22:59:59", "2026-10-25 23:00:00"]
+    batch = at(spark, stamps)
+    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_raw(spark, str(tmp_path / "in"), batch.schema)
+    days = jobs.daily_counts(stream, late="2 hours")
+    assert run(days, tmp_path, "days").filter("day = date'2026-10-26'").count() == 0
+    # A row of a later day closes the days before it; the query goes on where it stopped.
+    at(spark, ["2026-12-01 12:00:00"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = sorted(map(tuple, run(days, tmp_path, "days").collect()))
+    want = sorted(map(tuple, civil.local_days(civil.detection_timeline(batch)).collect()))
+    assert got == want and [r[1] for r in got if str(r[0]) == "2026-10-25"] == [4]
+
+
+def test_late_rows_are_kept_as_dead_letters(spark, tmp_path):
+    root = str(tmp_path / "split")
+    first, second = at(spark, ["2026-01-10 00:00:00", "2026-01-01 00:00:00"]), at(spark, ["2026-01-08 23:59:59", "2026-01-09 00:00:00", "2026-01-12 00:00:00", "2025-01-01 00:00:00", None])
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.read_raw(spark, str(tmp_path / "in"), first.schema, files_per_trigger=1)
+    q = jobs.start(stream, str(tmp_path / "ck"), jobs.split_late(spark, root, delay_us=86_400_000_000))
+    q.awaitTermination(120)
+    kept, late = (spark.read.parquet(f"{root}/{p}") for p in ("kept", "late"))
+    assert kept.count() == 5 and sorted(str(r.observed_at) for r in late.collect()) == ["2025-01-01 00:00:00", "2026-01-08 23:59:59"]
+    apply = jobs.split_late(spark, root, delay_us=86_400_000_000)
+    apply(second, 1)
+    assert spark.read.parquet(f"{root}/late").count() == 2
+
+
+def test_listener_counts_what_the_watermark_dropped(spark, tmp_path):
+    losses = jobs.RowLosses()
+    spark.streams.addListener(losses)
+    try:
+        for part in (["2026-01-10 00:00:00", "2026-01-09 23:59:00"], ["2026-01-20 00:00:00"], ["2026-01-01 00:00:00", "2026-01-02 00:00:00", "2026-01-20 00:00:30"]):
+            at(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_raw(spark, str(tmp_path / "in"), at(spark, []).schema, files_per_trigger=1)
+        counts = run(jobs.minute_counts(stream, late="0 seconds"), tmp_path, "m", "update")
+        last = counts.groupBy("observed_at").agg(F.max("count").alias("n")).agg(F.sum("n")).first()[0]
+        for _ in range(50):
+            if sum(losses.received.values()) == 6:
+                break
+            time.sleep(0.2)
+        assert sum(losses.received.values()) == 6 and sum(losses.dropped.values()) == 2 == 6 - last
+    finally:
+        spark.streams.removeListener(losses)
 
 
 def publications(spark):
