@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["civil", "quality", "osint", "reconcile", "areas", "roads", "feeds", "derived", "intake", "enrichment", "sync", "streams"]
+MODULES = ["civil", "quality", "osint", "reconcile", "areas", "roads", "feeds", "derived", "intake", "enrichment", "sync", "streams", "surface"]
 
 
 def _merged(attribute: str) -> dict:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from emberlake.functions import fixed, geo
 from emberlake.operators.merge import expire_missing, reactivate
+from emberlake.plans.sessions import activity_sessions
 from emberlake.sinks.zones import SnapshotTable
 
 # Polling periods of the feeds in seconds.
@@ -78,6 +79,11 @@ def daily_counts(stream: DataFrame, stamp: str = "observed_at", late: str = "14
     )
 
 
+def sessions(stream: DataFrame, keys: list[str], stamp: str = "observed_at", late: str = "14 days") -> DataFrame:
+    """Activity sessions that the watermark has closed (twin of ``sessions.activity_sessions``)."""
+    return activity_sessions(stream.withWatermark(stamp, late), keys, stamp)
+
+
 def split_late(spark: SparkSession, root: str, stamp: str = "observed_at", delay_us: int = 14 * 86_400_000_000) -> Callable[[DataFrame, int], None]:
     """Sink that keeps rows behind the watermark as dead letters instead of losing them.
 
