@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm.common import components, forest, small_batches
@@ -38,7 +38,7 @@ from emberlake.session import cut_lineage
 #: Leading directions that boxes cover, and those of them that define the sort key.
 LEADING, KEYED = 16, 6
 #: Vectors in a leaf, in the parts that a task compares, and children of an inner interval.
-LEAF, PART, FAN_OUT = 2048, 128, 8
+LEAF, PART, FAN_OUT = 4096, 128, 8
 #: Allowance for rounding in the skip test.
 SLACK = 1e-6
 
@@ -83,7 +83,12 @@ def gap(low_a, high_a, low_b, high_b) -> np.ndarray:
 
 
 def _sequence(vectors: DataFrame, dim: int, eps: float, kind: str) -> DataFrame:
-    """Leaves of the epsilon grid order: (range, leaf, ids, copies, data, low, high); data keeps the components as given."""
+    """Leaves of the epsilon grid order: (leaf, ids, copies, data, low, high); data keeps the components as given.
+
+    Every vector gets its number in the sequence, from its place in a sorted range and the
+    sizes of the ranges before it; leaves are cut by that number. How many leaves there are
+    follows from the vectors alone, not from the number of partitions.
+    """
     turn = rotation(vectors, dim)
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,33 +97,27 @@ def _sequence(vectors: DataFrame, dim: int, eps: float, kind: str) -> DataFrame:
             cells = np.floor(reduced(unit(x.astype(np.float64)), turn)[:, :KEYED] / eps).astype(np.int32)
             yield pd.DataFrame({"vec_id": frame["vec_id"], "copies": frame["copies"], "data": [r.tobytes() for r in x.astype(kind)], "cells": list(cells)})
 
-    def full(part: pd.DataFrame, leaf: int) -> pd.DataFrame:
+    def full(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("number")
         x = np.frombuffer(b"".join(part["data"]), kind).reshape(-1, dim)
         z = reduced(unit(x.astype(np.float64)), turn)
         ids, copies = part["vec_id"].to_numpy(np.int64), part["copies"].to_numpy(np.int64)
+        leaf = int(part["number"].iloc[0]) // LEAF
         return pd.DataFrame({"leaf": [leaf], "ids": [ids.tobytes()], "copies": [copies.tobytes()], "data": [x.tobytes()], "low": [z.min(0)], "high": [z.max(0)]})
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, leaf = [], 0
-        for frame in frames:
-            while len(frame):
-                take = frame.iloc[: LEAF - sum(map(len, held))]
-                held.append(take)
-                frame = frame.iloc[len(take) :]
-                if sum(map(len, held)) == LEAF:
-                    yield full(pd.concat(held), leaf)
-                    held, leaf = [], leaf + 1
-        if held:
-            yield full(pd.concat(held), leaf)
-
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["cells", "vec_id"]
-    leaves = (
+    sequence = cut_lineage(
         vectors.mapInPandas(keyed, "vec_id long, copies long, data binary, cells array<int>")
-        .repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .mapInPandas(pack, "leaf int, ids binary, copies binary, data binary, low array<double>, high array<double>")
-        .withColumn("range", F.spark_partition_id())
+        .repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("cells").withColumn("_at", F.monotonically_increasing_id()),
+        "sequence",
     )
+    sequence = sequence.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(2**33 - 1))
+    # One row per range of the shuffle goes through this window, whatever the number of vectors.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sequence.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = sequence.join(F.broadcast(starts), "_range").withColumn("number", F.col("_start") + F.col("_at")).drop("_range", "_start", "_at")
+    leaves = numbered.groupBy(F.expr(f"number div {LEAF}").alias("leaf")).applyInPandas(full, "leaf int, ids binary, copies binary, data binary, low array<double>, high array<double>")
     return cut_lineage(leaves, "leaves")
 
 
@@ -131,16 +130,16 @@ def _near(a: str, b: str, eps: float):
 
 def _leaf_pairs(leaves: DataFrame, width: int, eps: float) -> DataFrame:
     """Pairs of leaves that may hold links, found by expanding pairs of intervals from the root."""
-    boxes = cut_lineage(leaves.select("range", "leaf", "low", "high"), "boxes")
-    ranges = boxes.agg(F.coalesce(F.max("range"), F.lit(0))).first()[0] + 1
+    boxes = cut_lineage(leaves.select("leaf", "low", "high"), "boxes")
+    count = boxes.agg(F.coalesce(F.max("leaf"), F.lit(0))).first()[0] + 1
     depth = 0
-    while FAN_OUT**depth < ranges:
+    while FAN_OUT**depth < count:
         depth += 1
 
     def level(k: int) -> DataFrame:
-        """Intervals of FAN_OUT**k ranges each."""
+        """Intervals of FAN_OUT**k leaves each."""
         sides = [F.min(F.get("low", F.lit(i))).alias(f"l{i}") for i in range(width)] + [F.max(F.get("high", F.lit(i))).alias(f"h{i}") for i in range(width)]
-        out = boxes.groupBy(F.expr(f"range div {FAN_OUT**k}").alias("node")).agg(*sides)
+        out = boxes.groupBy(F.expr(f"leaf div {FAN_OUT**k}").alias("node")).agg(*sides)
         return out.select("node", *(F.array(*[f"{c}{i}" for i in range(width)]).alias(n) for c, n in (("l", "low"), ("h", "high"))))
 
     found = level(depth).select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -153,13 +152,7 @@ def _leaf_pairs(leaves: DataFrame, width: int, eps: float) -> DataFrame:
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         )
         found = cut_lineage(found, "interval-pairs")
-    one, two = boxes.alias("x"), boxes.alias("y")
-    order = (F.col("x.range") < F.col("y.range")) | ((F.col("x.range") == F.col("y.range")) & (F.col("x.leaf") <= F.col("y.leaf")))
-    return (
-        found.join(one, F.col("a") == F.col("x.range")).join(two, F.col("b") == F.col("y.range"))
-        .filter(order & _near("x", "y", eps))
-        .select(F.col("a").alias("range"), F.col("x.leaf").alias("leaf"), F.col("b").alias("range_b"), F.col("y.leaf").alias("leaf_b"))
-    )
+    return found.select(F.col("a").alias("leaf"), F.col("b").alias("leaf_b"))
 
 
 def compare(a: np.ndarray, b: np.ndarray | None, copies_a: np.ndarray, copies_b: np.ndarray, eps: float, least: float):
@@ -201,8 +194,8 @@ def _linked(vectors: DataFrame, dim: int, eps: float, least: float, kind: str) -
     leaves = _sequence(vectors, dim, eps, kind)
     pairs = _leaf_pairs(leaves, min(LEADING, dim) + 1, eps)
     body = ["ids", "copies", "data"]
-    other = leaves.select(F.col("range").alias("range_b"), F.col("leaf").alias("leaf_b"), *[F.col(c).alias(f"{c}_b") for c in body])
-    met = pairs.join(leaves.select("range", "leaf", *body), ["range", "leaf"]).join(other, ["range_b", "leaf_b"])
+    other = leaves.select(F.col("leaf").alias("leaf_b"), *[F.col(c).alias(f"{c}_b") for c in body])
+    met = pairs.join(leaves.select("leaf", *body), "leaf").join(other, "leaf_b")
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -210,7 +203,7 @@ def _linked(vectors: DataFrame, dim: int, eps: float, least: float, kind: str) -
                 ids, copies = np.frombuffer(row.ids, np.int64), np.frombuffer(row.copies, np.int64)
                 ids_b, copies_b = np.frombuffer(row.ids_b, np.int64), np.frombuffer(row.copies_b, np.int64)
                 a, b = (unit(np.frombuffer(x, kind).reshape(-1, dim).astype(np.float64)) for x in (row.data, row.data_b))
-                same = (row.range, row.leaf) == (row.range_b, row.leaf_b)
+                same = row.leaf == row.leaf_b
                 n, label = compare(a, None if same else b, copies, copies_b, eps, least)
                 every = ids if same else np.concatenate([ids, ids_b])
                 at = np.flatnonzero(n)

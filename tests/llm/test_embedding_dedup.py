@@ -34,6 +34,21 @@ def test_links_equal_brute_force(spark, monkeypatch, dim, leaf):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_copies(df).collect()} == brute(rows)
 
 
+def test_leaves_do_not_follow_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(E, "LEAF", 50)
+    rows = [(i, v, 1) for i, v in clustered(430, 12, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies long")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("3", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            leaves = E._sequence(df, 12, 0.32, "<f8")
+            seen.append((sorted(tuple(np.frombuffer(r.ids, np.int64)) for r in leaves.collect()), E._leaf_pairs(leaves, 13, 0.32).count()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and sorted(map(len, seen[0][0])) == [30] + [50] * 8
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]),
             (7, [1.0, 1.0]), (8, [1e-300, 1e-300]), (9, [1e300, 1e300]), (10, [1.0, 1.0, 1.0]), (7, [1.0, 1.0])]
