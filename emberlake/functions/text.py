@@ -155,14 +155,14 @@ def language(column: str) -> Column:
     return F.expr(f"CASE WHEN {best} = 0 THEN 'und' {cases} END")
 
 
-def instructions(text: Column) -> Column:
-    """Sentences that tell people what to do, joined, at most 4000 characters."""
+def instructions(text: Column, most: int | None = None) -> Column:
+    """Sentences that tell people what to do, joined; ``most`` characters of them where a view wants a cut."""
     sentences = F.transform(
         F.split(text, r"(?<=[.!?])\s+|[\r\n]+"), lambda s: F.struct(F.trim(s).alias("raw"), normalize(s).alias("plain"))
     )
     kept = F.filter(sentences, lambda s: contains_any(s["plain"], fixed.INSTRUCTION_TERMS))
     joined = F.array_join(F.transform(kept, lambda s: s["raw"]), " ")
-    return F.nullif(F.substring(joined, 1, 4000), F.lit(""))
+    return F.nullif(joined if most is None else F.substring(joined, 1, most), F.lit(""))
 
 
 # Patterns of a quoted literal alert message.
@@ -185,14 +185,15 @@ PLACE_AFTER_NOUN = (
 )
 
 
-def places(text: Column) -> Column:
-    """Places named after an administrative noun, distinct in order, at most twenty."""
+def places(text: Column, most: int | None = None) -> Column:
+    """Places named after an administrative noun, distinct in order, all or the first ``most``."""
     raw = F.regexp_extract_all(text, F.lit(PLACE_AFTER_NOUN), F.lit(1))
     names = F.transform(
         raw,
         lambda n: F.regexp_replace(F.btrim(n, F.lit(" ,.;:()")), r"^(?:La|El|Les|Los|Las)\s+", ""),
     )
-    return F.slice(F.array_distinct(F.filter(names, lambda n: n != "")), 1, 20)
+    found = F.array_distinct(F.filter(names, lambda n: n != ""))
+    return found if most is None else F.slice(found, 1, most)
 
 
 # Pattern of "region -> target" summaries.

@@ -22,7 +22,7 @@ def plans(raw: DataFrame) -> DataFrame:
     body = F.concat_ws("\n", get("descripcio"), F.concat(F.lit("Pla activat: "), get("plaactivat")), F.concat(F.lit("Comunicat oficial: "), url))
     external = F.coalesce(own, F.sha2(F.concat(F.lit("proteccio-civil|"), "row"), 256))
     return rows.select(
-        external.alias("external_id"), F.substring(F.concat_ws(" ", plan, phase), 1, 240).alias("title"), body.alias("body"),
+        external.alias("external_id"), F.substring(F.concat_ws(" ", plan, phase), 1, 240).alias("title"), F.concat_ws(" ", plan, phase).alias("full_title"), body.alias("body"),
         F.coalesce(url, F.lit("https://analisi.transparenciacatalunya.cat/d/wj9c-j6vf")).alias("url"), units.plan_level(phase).alias("severity"),
         F.lit(fixed.PLAN_AREA_BBOX).alias("area_bbox"), dates.plan_phase(get("fasedatahora")).alias("observed_at"),
         F.sha2(F.concat(external, F.lit("|"), "row"), 256).alias("deduplication_hash"),
@@ -52,7 +52,7 @@ def alert_snapshot(raw: DataFrame) -> DataFrame:
     shaped = live.withColumn("geometry", geo.parse_area(F.col("geometry"))).filter("geometry IS NOT NULL")
     cols = ["area", "authority", "expires_at", "external_id", "instruction", "level", "restriction_type", "sent_at", "title", "url"]
     return shaped.select(
-        "external_id", F.substring("title", 1, 180).alias("name"), F.substring("restriction_type", 1, 120).alias("restriction_type"), "instruction", "authority",
+        "external_id", F.substring("title", 1, 180).alias("name"), F.col("title").alias("full_title"), F.substring("restriction_type", 1, 120).alias("restriction_type"), "instruction", "authority",
         F.col("level").alias("alert_level"), "area", "url", F.col("sent_at").alias("observed_at"), "expires_at", "source_generated_at", "geometry",
         F.sha2(F.to_json(F.struct(*cols, "geometry")), 256).alias("deduplication_hash"),
     )

@@ -102,7 +102,8 @@ def map_restrictions(raw: DataFrame) -> DataFrame:
     everything = F.to_json(F.struct(*sorted(MAP_FIELDS)))
     external = F.concat(F.lit("etraffic:"), F.coalesce(clean(F.col("id")), F.sha2(everything, 256)))
     return lines.select(
-        external.alias("external_id"), F.substring(F.coalesce(title, clean(F.col("causa")), F.lit("DGT eTraffic")), 1, 240).alias("title"), clean(F.col("carretera")).alias("road_ref"),
+        external.alias("external_id"), F.substring(F.coalesce(title, clean(F.col("causa")), F.lit("DGT eTraffic")), 1, 240).alias("title"),
+        F.coalesce(title, clean(F.col("causa")), F.lit("DGT eTraffic")).alias("full_title"), clean(F.col("carretera")).alias("road_ref"),
         kind.alias("kind"), "paths", F.get_json_object("geometria", "$.type").alias("geometry_type"), clean(F.col("causa")).alias("cause"), clean(F.col("subcausa")).alias("subcause"),
         clean(F.col("fuente")).alias("source_authority"), F.col("fechaInicio").try_cast("timestamp").alias("observed_at"),
         F.sha2(F.concat(external, F.lit("|"), everything), 256).alias("deduplication_hash"),

@@ -84,6 +84,7 @@ def alerts(raw: DataFrame) -> DataFrame:
     out = one.select(
         clean(F.col("a.identifier")).alias("external_id"),
         F.substring(F.coalesce(clean(F.col("i.headline")), clean(F.col("i.event")), F.lit("Avís AEMET")), 1, 240).alias("title"),
+        F.coalesce(clean(F.col("i.headline")), clean(F.col("i.event")), F.lit("Avís AEMET")).alias("full_title"),
         F.concat_ws("\n", clean(F.col("i.description")), clean(F.col("i.instruction"))).alias("body"),
         F.coalesce(clean(F.col("i.web")), F.col("url")).alias("url"), level.alias("severity"), dates.iso(F.col("a.sent")).alias("observed_at"),
         area["areaDesc"].alias("area"), geo.polygon_text_bbox(area["polygon"]).alias("area_bbox"), clean(F.col("i.onset")).alias("onset"),
