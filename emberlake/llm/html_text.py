@@ -5,7 +5,13 @@ holds menus, headers of a site, footers, sidebars, notices, adverts, forms or co
 boilerplate; otherwise its link density, its length and its density of stop words decide
 between text, boilerplate and undecided. Second pass: undecided blocks take the label of the
 nearest decided neighbours outside such containers; where the two sides differ, the nearer
-one counts and text wins a tie.
+one counts and text wins a tie. A long block that is not made of links doesn't become
+boilerplate because links stand beside it.
+
+Stop words are listed for four languages. A page whose long blocks hold few of them is in
+another language; there, the short words that recur in these blocks count as stop words,
+and a block without any stays undecided. Ideographs and kana are words of their own and
+weigh as much as ``WIDE`` letters in all lengths.
 
 A word in class, id or role marks a container only where the container doesn't hold most of
 the text in article and main elements, nor, with no text in such elements beside it, most of
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -74,7 +81,11 @@ MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.4, 70, 200, 0.10, 0.22
 MENU = 3
 #: A marked wrapper has so many times the text of the articles beside it, or it isn't the page's layout.
 BESIDE = 4
+#: Letters that a character of a script without spaces stands for, and letters of a short word.
+WIDE, SHORT_WORD = 3, 4
 TEXT, BOILERPLATE, UNDECIDED = "text", "boilerplate", "undecided"
+#: Elements that keep an end tag from being implied in what lies around them.
+BARRIERS = frozenset("table ul ol dl article section div main".split())
 
 _NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 _SHUT = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in TEXT_ONLY}
@@ -83,6 +94,8 @@ _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _SEPARATORS = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_TOKEN = re.compile("[\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]|[^\\s\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
 
 
 def _tags(source: str):
@@ -219,7 +232,8 @@ def _parse(source: str, layout: frozenset[int]) -> tuple[list[Block], list[int],
     parts: list[str] = []
     linked: list[str] = []
     open_: list[tuple[str, str | None, Wrapper | None, bool]] = []
-    depth: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of the open elements of a name
+    barriers: list[int] = []
     count = {"article": 0, BOILERPLATE: 0, "raw": 0, "a": 0, "marked": 0}
 
     def end() -> None:
@@ -234,7 +248,9 @@ def _parse(source: str, layout: frozenset[int]) -> tuple[list[Block], list[int],
     def close(k: int) -> None:
         while len(open_) > k:
             name, role, wrapper, own = open_.pop()
-            depth[name] -= 1
+            places[name].pop()
+            if name in BARRIERS:
+                barriers.pop()
             if role:
                 count[role] -= 1
             if wrapper:
@@ -260,24 +276,18 @@ def _parse(source: str, layout: frozenset[int]) -> tuple[list[Block], list[int],
         if name in BLOCKS:
             end()
         if closing:
-            if depth.get(name):
-                k = len(open_) - 1
-                while open_[k][0] != name:
-                    k -= 1
-                close(k)
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name in VOID or attributes.endswith("/") and name in ("path", "rect", "circle", "use"):
             continue
         ended = SELF_CLOSING.get(name, ())
         if name in ENDS_P:
             ended = (*ended, "p")
-        for k in range(len(open_) - 1, max(-1, len(open_) - 12), -1):
-            if open_[k][0] in ended:
-                end()
-                close(k)
-                break
-            if open_[k][0] in ("table", "ul", "ol", "dl", "article", "section", "div", "main") and open_[k][0] not in ended:
-                break
+        k = max((places[n][-1] for n in ended if places.get(n)), default=-1)
+        if k >= 0 and k > (barriers[-1] if barriers else -1):
+            end()
+            close(k)
         if name == "body":  # a head that was never closed ends here
             close(0)
         role, plain = _role(name, attributes, count["article"] > 0)
@@ -291,8 +301,10 @@ def _parse(source: str, layout: frozenset[int]) -> tuple[list[Block], list[int],
         if own:
             inside.append(articles)
             articles += 1
+        places.setdefault(name, []).append(len(open_))
+        if name in BARRIERS:
+            barriers.append(len(open_))
         open_.append((name, role, wrapper, own))
-        depth[name] = depth.get(name, 0) + 1
         if role:
             count[role] += 1
         if name == "a":
@@ -303,48 +315,75 @@ def _parse(source: str, layout: frozenset[int]) -> tuple[list[Block], list[int],
     return out, homes, wrappers
 
 
-def dealt_label(block: Block) -> str:
+class Language(NamedTuple):
+    """Stop words of a page, and whether they are those of a listed language."""
+
+    words: frozenset[str]
+    listed: bool
+
+
+LISTED = Language(STOP_WORDS, True)
+
+
+def words_of(text: str) -> list[str]:
+    return [w.strip(".,;:!?()\"'").lower() for w in (_TOKEN.findall(text) if _WIDE.search(text) else text.split())]
+
+
+def size(text: str) -> int:
+    """Length in letters."""
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(_WIDE.findall(text))
+
+
+def language_of(found: list[Block]) -> Language:
+    counts = Counter(w for b in found if not b.outside and size(b.text) >= SHORT and b.links <= MAX_LINKS * len(b.text) for w in words_of(b.text))
+    if sum(n for w, n in counts.items() if w in STOP_WORDS) >= FEW_STOPS * sum(counts.values()):
+        return LISTED
+    return Language(STOP_WORDS | {w for w, n in counts.items() if n > 1 and w.isalpha() and len(w) <= SHORT_WORD}, False)
+
+
+def dealt_label(block: Block, language: Language = LISTED) -> str:
     """Link density, length and stop words of one block alone."""
     if block.links > MAX_LINKS * len(block.text) or "©" in block.text[:3]:
         return BOILERPLATE
-    if len(block.text) < SHORT:
+    length = size(block.text)
+    if length < SHORT:
         return UNDECIDED
-    stops = stop_share(block)
-    if stops >= MANY_STOPS or (stops >= FEW_STOPS and len(block.text) >= LONG):
+    stops = stop_share(block, language)
+    if stops >= MANY_STOPS or (stops >= FEW_STOPS and length >= LONG):
         return TEXT
-    return UNDECIDED if stops >= FEW_STOPS or len(block.text) >= LONG else BOILERPLATE
+    return UNDECIDED if stops >= FEW_STOPS or length >= LONG or not language.listed else BOILERPLATE
 
 
-def stop_share(block: Block) -> float:
-    words = [w.strip(".,;:!?()\"'").lower() for w in block.text.split()]
-    return sum(w in STOP_WORDS for w in words) / len(words)
+def stop_share(block: Block, language: Language = LISTED) -> float:
+    words = words_of(block.text)
+    return sum(w in language.words for w in words) / len(words)
 
 
-def first_label(block: Block, has_article: bool) -> str:
+def first_label(block: Block, has_article: bool, language: Language = LISTED) -> str:
     """Rules on one block; what speaks against the page's article has to be stronger than either alone."""
     if block.outside:
         return BOILERPLATE
-    label = dealt_label(block)
+    label = dealt_label(block, language)
     if not has_article:
         return label
     if block.article:
-        linked = len(block.text) >= SHORT and block.links > MAX_LINKS * len(block.text) and stop_share(block) < FEW_STOPS
+        linked = size(block.text) >= SHORT and block.links > MAX_LINKS * len(block.text) and stop_share(block, language) < FEW_STOPS
         return UNDECIDED if label == BOILERPLATE and not linked else label
-    strong = label == TEXT and len(block.text) >= LONG and stop_share(block) >= MANY_STOPS
+    strong = label == TEXT and size(block.text) >= LONG and stop_share(block, language) >= MANY_STOPS
     return UNDECIDED if label == TEXT and not strong else label
 
 
 def article_holds(found: list[Block]) -> bool:
     """Whether the page has an article that counts: one with at least half of the long text."""
     inner = [b for b in found if not b.outside]
-    long = [b for b in inner if len(b.text) >= SHORT and b.links <= MAX_LINKS * len(b.text)]
+    long = [b for b in inner if size(b.text) >= SHORT and b.links <= MAX_LINKS * len(b.text)]
     return any(b.article for b in inner) and 2 * sum(len(b.text) for b in long if b.article) >= sum(len(b.text) for b in long)
 
 
 def labels(found: list[Block]) -> list[str]:
     """Both passes over a page."""
-    has_article = article_holds(found)
-    first = [first_label(b, has_article) for b in found]
+    has_article, language = article_holds(found), language_of(found)
+    first = [first_label(b, has_article, language) for b in found]
     # A run of blocks that are links and nothing else is a menu, inside an article too.
     run: list[int] = []
     for i, b in enumerate([*found, None]):
@@ -368,6 +407,8 @@ def labels(found: list[Block]) -> list[str]:
                 continue
             sides = [(abs(i - j), first[j] != TEXT, first[j]) for j in decided[max(0, k - 1) : k + 1]]
             if kind is None:
+                if size(found[i].text) >= LONG:
+                    sides = [s for s, j in zip(sides, decided[max(0, k - 1) : k + 1]) if found[j].links <= MAX_LINKS * len(found[j].text)]
                 # Without a decided neighbour there is nothing to tell the block from.
                 out[i] = min(sides)[2] if sides else TEXT
             else:  # the article's word holds unless both sides speak against it

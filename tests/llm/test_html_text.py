@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from emberlake.llm import html_text as H
@@ -99,3 +101,30 @@ def test_nested_wrappers_cost_linear_time():
     start = time.time()
     H.main_text("<div class=no-sidebar><p>x" * 20000)
     assert time.time() - start < 10
+
+
+MENU = "<ul><li><a href='/1'>{0}</a></li><li><a href='/2'>{1}</a></li><li><a href='/3'>{2}</a></li></ul>"
+PROSE = {
+    "pl": ("Start Aktualności Kontakt", "W nocy z soboty na niedzielę strażacy gasili pożar lasu na południe od miasta. Ogień pojawił się po zachodzie słońca i szybko objął suche zarośla na zboczu. Do akcji ruszyło dwanaście zastępów, a mieszkańcy trzech wsi opuścili domy. Nad ranem sytuacja była opanowana, jednak dogaszanie potrwa do wieczora, bo wiatr wciąż roznosi iskry na sąsiednie pola i na skraj lasu."),
+    "it": ("Inizio Notizie Contatti", "Nella notte tra sabato e domenica i vigili del fuoco hanno spento un incendio a sud della città. Le fiamme sono partite dopo il tramonto e hanno raggiunto in poco tempo la macchia secca della collina. Sul posto sono arrivate dodici squadre, mentre gli abitanti di tre paesi hanno lasciato le case. All'alba la situazione era sotto controllo, ma la bonifica durerà fino a sera."),
+    "ru": ("Главная Новости Контакты", "В ночь на воскресенье пожарные тушили лесной пожар к югу от города. Огонь появился после захода солнца и быстро охватил сухой кустарник на склоне. На место прибыли двенадцать расчётов, а жители трёх деревень покинули дома. К утру пожар взяли под контроль, но тушение продлится до вечера, потому что ветер всё ещё разносит искры на соседние поля."),
+    "zh": ("首页 新闻 联系", "星期六夜里，消防队员在城市南面扑灭了一场森林大火。火是在日落以后出现的，很快就烧到了山坡上干燥的灌木丛。十二支队伍赶到现场，三个村子的居民离开了家。到了早晨，火势得到控制，但是清理工作要持续到晚上，因为风还在把火星吹到附近的田里。人们希望明天下雨，这样树林的边缘就不会再次起火。"),
+    "en": ("Home News Contact", "During the night from Saturday to Sunday the brigade put out a fire to the south of the town. The flames came up after sunset and soon reached the dry bushes on the hill. Twelve crews were sent to the place and the people of three villages left their houses. In the morning the fire was under control, but the work will go on until the evening because of the wind."),
+}
+
+
+@pytest.mark.parametrize("language", PROSE)
+@pytest.mark.parametrize("paragraphs", [1, 2])
+def test_long_texts_of_any_language_survive_a_menu_without_an_article(language, paragraphs):
+    menu, prose = PROSE[language]
+    body = "".join(f"<p>{prose}</p>" for _ in range(paragraphs))
+    page = f"<html><body>{MENU.format(*menu.split())}<div>{body}</div>{MENU.format(*menu.split())}</body></html>"
+    assert H.main_text(page) == " ".join([prose] * paragraphs)
+
+
+def test_end_tags_are_implied_at_any_depth():
+    deep = "<b>" * 40
+    assert H.blocks(f"<div><p>{deep}one<p>two") == H.blocks(f"<div><p>{deep}one{'</b>' * 40}</p><p>two</p></div>")
+    began = time.process_time()
+    H.blocks("<li><div>" + "<b>" * 20_000 + "<li>x" * 20_000)
+    assert time.process_time() - began < 10
