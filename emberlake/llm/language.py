@@ -11,7 +11,7 @@ the inverse square root of the landmarks' own kernel matrix. One ridge regressio
 language against all others is solved on these features. A batch of texts is scored by two
 matrix products: presence by landmarks, then landmarks by languages.
 
-The classifier is fitted on a sample of labelled rows, chosen by a hash of id and text: at
+The classifier is fitted on a sample of labelled rows, chosen by a hash of the text: at
 most ``PER_LANGUAGE`` texts of each language and about ``SAMPLE`` in all, but ``LEAST`` of each
 language where it has them. Every language is learned: each has a landmark and a regression,
 so the model grows with the number of languages. Everything else covers all rows.
@@ -132,20 +132,22 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     return Model(names, columns, marks, weights.astype(np.float32))
 
 
-def learn(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on a sample of the labelled rows of every language where ``use`` holds."""
+def learn(docs: DataFrame, use: Column, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Fit on a sample of the labelled texts of every language where ``use`` holds; text and label alone decide what is taken."""
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("at")
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40)).alias("at")
     )
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Texts are told apart by their hash, so a text that is repeated very often counts once.
+    counts = rows.select("lang", "at").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
     each = min(PER_LANGUAGE, max(LEAST, SAMPLE // len(counts)))
-    # One more pass: only rows below their language's hash bound go on, about twice as many as are kept.
+    # One more pass: only rows below their language's hash bound go on, about twice as many texts as are kept.
     bounds = [(r["lang"], (1 << 40) if r["n"] <= 4 * each else int((1 << 40) * 2 * each / r["n"])) for r in counts]
     bounds = docs.sparkSession.createDataFrame(bounds, StructType([rows.schema["lang"], StructField("bound", LongType())]))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    sample = rows.join(F.broadcast(bounds), "lang").filter("at < bound").withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("lang", "nth").select("text", "lang").collect()
+    near = rows.join(F.broadcast(bounds), "lang").filter("at < bound").groupBy("lang", "at").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    sample = near.withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("lang", "nth").select("text", "lang").collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

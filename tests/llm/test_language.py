@@ -68,3 +68,11 @@ def test_every_language_is_learned(spark):
     model = L.learn(df, F.lit(True))
     assert model.languages == [f"l{k:02}" for k in range(80)]
     assert L.predictions([t for _, t, _ in rows], model)[0] == [y for _, _, y in rows]
+
+
+def test_ids_and_repeats_do_not_steer_what_is_learned(spark):
+    rows = [(i, f"{w} {i} der die das und" if i % 2 else f"{w} {i} the and of to", "de" if i % 2 else "en") for i, w in enumerate(["haus", "house"] * 20)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    other = spark.createDataFrame([(1000 - i, t, y) for i, t, y in rows] + [(5000 + i, *rows[0][1:]) for i in range(500)], "doc_id long, text string, lang string")
+    a, b = L.learn(one, F.lit(True)), L.learn(other, F.lit(True))
+    assert a.languages == b.languages and (a.columns == b.columns).all() and np.allclose(a.weights, b.weights, atol=1e-5)
