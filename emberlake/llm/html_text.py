@@ -335,9 +335,11 @@ def size(text: str) -> int:
 
 
 def language_of(found: list[Block]) -> Language:
-    counts = Counter(w for b in found if not b.outside and size(b.text) >= SHORT and b.links <= MAX_LINKS * len(b.text) for w in words_of(b.text))
-    if sum(n for w, n in counts.items() if w in STOP_WORDS) >= FEW_STOPS * sum(counts.values()):
+    long = [b.text for b in found if not b.outside and size(b.text) >= SHORT and b.links <= MAX_LINKS * len(b.text)]
+    words = " ".join(long).lower().split()
+    if sum(map(STOP_WORDS.__contains__, words)) >= FEW_STOPS * len(words):
         return LISTED
+    counts = Counter(w for text in long for w in words_of(text))
     return Language(STOP_WORDS | {w for w, n in counts.items() if n > 1 and w.isalpha() and len(w) <= SHORT_WORD}, False)
 
 
