@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.adapters import ctes, load
+from emberlake.adapters import AS_OF, DAY_US, base, ctes, load
 from emberlake.functions import metadata, sql
+from emberlake.plans import civil
 from emberlake.plans.sessions import activity_sessions
 from emberlake.registry.civil import _SUMMER
 from emberlake.registry.osint import sql_normal
@@ -101,3 +102,32 @@ def sql_text_functions(spark: SparkSession, sf: str) -> DataFrame:
           road_incident_kind(CASE doc_id % 3 WHEN 0 THEN 'Carreteras CORTADAS' WHEN 1 THEN 'Lento' ELSE 'x' END) AS kind, comma_number(replace(CAST(doc_id / 2 AS STRING), '.', ',')) AS number,
           CAST(madrid_day(published_at) AS STRING) AS day
         FROM sql_function_texts""")
+
+
+@register("listed_notices", ctes("incidents") + f"""
+SELECT id, CASE orderkey % 3 WHEN 0 THEN 'AEMET Meteoalerta' ELSE 'Proteccio Civil' END AS source_name, epoch_us(make_timestamp(updated_us)) AS updated_us FROM incidents
+WHERE orderkey % 3 <> 2 AND (orderkey % 3 = 1 OR observed_us >= epoch_us(TIMESTAMP '{AS_OF}') - 4 * {DAY_US}) AND (expires_us IS NULL OR make_timestamp(expires_us) >= TIMESTAMP '{AS_OF}')""")
+def listed_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """Active notices of two sources as one list; those of the first are listed for four days."""
+    k = F.col("orderkey") % 3
+    rows = load(spark, sf, "incidents").select(
+        "id", F.when(k == 0, "AEMET Meteoalerta").when(k == 1, "Proteccio Civil").otherwise("other").alias("source_name"), "observed_at", F.timestamp_micros("updated_us").alias("updated_at"),
+        F.date_format(F.timestamp_micros("expires_us"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expires"),
+    )
+    return civil.listed_notices(rows, AS_OF).select("id", "source_name", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@register("connector_status", """
+WITH r AS (SELECT 'connector ' || o_custkey % 30 AS connector, o_orderkey AS id, o_orderstatus AS status, epoch_us(o_orderdate::TIMESTAMP) AS us, o_orderkey % 50 AS received, o_orderkey % 7 AS duplicates,
+  row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders)
+SELECT connector, string_agg(id || ':' || status || ':' || received || ':' || duplicates || ':' || (received - duplicates) || ':' || us, ' ' ORDER BY n) AS runs FROM r WHERE n <= 5 GROUP BY 1""")
+def connector_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The five newest runs of every connector in the shape of its status."""
+    k = F.col("o_orderkey")
+    runs = base(spark, sf, "orders").select(
+        F.concat(F.lit("connector "), (F.col("o_custkey") % 30).cast("string")).alias("connector_name"), k.alias("id"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), (k % 50).alias("received"), (k % 7).alias("duplicates"),
+        (k % 50 - k % 7).alias("persisted"), F.lit("archive").alias("raw_object_uri"),
+    )
+    text = lambda r: F.concat_ws(":", *[r[c].cast("string") for c in ("id", "status", "received", "duplicates", "persisted")], F.unix_micros(r["started_at"]).cast("string"))
+    return civil.connector_status(runs).select("connector", F.array_join(F.transform("runs", text), " ").alias("runs"))
