@@ -23,7 +23,8 @@ def register(name: str, sql: str):
 
 # Every part is a road of its own; its number modulo 6 says what is known about it:
 # 0 a network with a branch, 1 a network with a gap, 2 stored routes, 3 kilometre posts, 4 local lines, 5 nothing.
-_P = F.col("p_partkey")
+def _part() -> Column:
+    return F.col("p_partkey")
 
 
 def _x0(p: Column) -> Column:
@@ -43,30 +44,33 @@ def _ref(p: Column) -> Column:
 
 
 def network(spark: SparkSession, sf: str) -> DataFrame:
+    p = _part()
     lines = [
         (0, "a", (0, 0), (0.01, 0.002), (0.02, 0)), (0, "b", (0.02, 0), (0.03, -0.002), (0.04, 0)), (0, "branch", (0.02, 0), (0.02, 0.02), (0.02, 0.04)),
         (1, "a", (0, 0), (0.02, 0)), (1, "b", (0.03, 0), (0.035, 0.001), (0.04, 0)),
     ]
-    rows = [F.when(_P % 6 == c, F.struct(F.lit(n).alias("n"), _path(_P, *points).alias("path"))) for c, n, *points in lines]
+    rows = [F.when(p % 6 == c, F.struct(F.lit(n).alias("n"), _path(p, *points).alias("path"))) for c, n, *points in lines]
     out = base(spark, sf, "part").select("p_partkey", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("l"))
-    return out.select(F.concat_ws(":", _P.cast("string"), "l.n").alias("segment_id"), _ref(_P).alias("name"), F.lit(None).cast("string").alias("code"), "l.path")
+    return out.select(F.concat_ws(":", p.cast("string"), "l.n").alias("segment_id"), _ref(p).alias("name"), F.lit(None).cast("string").alias("code"), "l.path")
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """A post every kilometre from 0 to 6; every fourth road lacks number 3."""
-    rows = base(spark, sf, "part").filter(_P % 6 == 3).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).filter((F.col("k") != 3) | (_P % 4 != 1))
-    return rows.select(_ref(_P).alias("name"), F.concat(F.col("k").cast("string"), F.lit(",0")).alias("number"),
-                       geo.xy(F.round(_x0(_P) + F.col("k") * 0.01, 6), F.round(_y0(_P) + F.col("k") % 2 * 0.001, 6)).alias("point"))
+    p = _part()
+    rows = base(spark, sf, "part").filter(p % 6 == 3).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).filter((F.col("k") != 3) | (p % 4 != 1))
+    return rows.select(_ref(p).alias("name"), F.concat(F.col("k").cast("string"), F.lit(",0")).alias("number"),
+                       geo.xy(F.round(_x0(p) + F.col("k") * 0.01, 6), F.round(_y0(p) + F.col("k") % 2 * 0.001, 6)).alias("point"))
 
 
 def local_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Two lines of different sources, of one source on every fifth road."""
+    p = _part()
     two = F.array(
-        F.struct(F.lit("n").alias("n"), (_P % 10).alias("source_id"), _path(_P, (0.04, 0), (0.02, 0.001), (0, 0)).alias("path")),
-        F.struct(F.lit("p").alias("n"), F.when(_P % 5 == 0, _P % 10).otherwise((_P + 3) % 10).alias("source_id"), _path(_P, (0, 0.01), (0.04, 0.01)).alias("path")),
+        F.struct(F.lit("n").alias("n"), (p % 10).alias("source_id"), _path(p, (0.04, 0), (0.02, 0.001), (0, 0)).alias("path")),
+        F.struct(F.lit("p").alias("n"), F.when(p % 5 == 0, p % 10).otherwise((p + 3) % 10).alias("source_id"), _path(p, (0, 0.01), (0.04, 0.01)).alias("path")),
     )
-    rows = base(spark, sf, "part").filter(_P % 6 == 4).select("p_partkey", F.explode(two).alias("l"))
-    return rows.select(F.concat_ws(":", _P.cast("string"), "l.n").alias("segment_id"), _ref(_P).alias("name"), F.lit(None).cast("string").alias("code"), "l.path", "l.source_id")
+    rows = base(spark, sf, "part").filter(p % 6 == 4).select("p_partkey", F.explode(two).alias("l"))
+    return rows.select(F.concat_ws(":", p.cast("string"), "l.n").alias("segment_id"), _ref(p).alias("name"), F.lit(None).cast("string").alias("code"), "l.path", "l.source_id")
 
 
 def zones(spark: SparkSession, sf: str) -> DataFrame:

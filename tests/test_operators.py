@@ -255,3 +255,12 @@ def test_nearest_km_post_prefers_number_then_place(spark):
     posts = spark.createDataFrame([("n-1", "10", 1.0), ("N-1", "10,0", 2.0), ("N-1", "x", 0.0), ("N-1", "11", 0.0)], "name string, number string, x double").withColumn("point", geo.xy(F.col("x"), F.lit(0.0)))
     ask = spark.createDataFrame([("q", "N-1", "a", 10.2, 1.9)], "query_id string, road_key string, which string, km double, nx double").withColumn("near", geo.xy(F.col("nx"), F.lit(0.0)))
     assert roads.nearest_km_posts(ask, posts).first().post.x == 2.0
+
+
+def test_links_cross_the_180th_meridian(spark):
+    from emberlake.operators.grid_join import link_points
+
+    rows = [("a", 179.999, 10.0), ("b", -179.999, 10.0), ("c", 0.0, 10.0), ("d", 180.0, 10.0), ("e", -180.0, 10.0), ("f", 179.9, 89.9), ("g", -179.9, 89.9)]
+    df = spark.createDataFrame(rows, "id string, lon double, lat double").withColumn("t", F.lit("2026-01-01").cast("timestamp"))
+    got = {(r.first_id, r.second_id) for r in link_points(df, id_col="id", lon="lon", lat="lat", time="t", max_distance_m=500).collect()}
+    assert got == {("a", "b"), ("a", "d"), ("a", "e"), ("b", "d"), ("b", "e"), ("d", "e"), ("f", "g")}

@@ -8,7 +8,8 @@ from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"merged_incidents", "perimeter_pairs", "ingested_publications", "perimeter_groups", "publications_to_fires", "publications_to_incidents", "gazetteer_occurrences", "detection_groups", "detection_grid",
-        "merged_footprint", "merged_roads", "road_routes", "road_parts", "incident_transitions", "road_features", "road_ways", "weather_alerts", "burnt_areas"}
+        "merged_footprint", "merged_roads", "road_routes", "road_parts", "incident_transitions", "road_features", "road_ways", "weather_alerts", "burnt_areas",
+        "ordered_intake", "enriched_roads", "replay_outcomes", "snapshot_counts", "streamed_transitions", "gazetteer_mentions", "op1_ngram_join", "op3_embedding_dedup", "op10_mixing", "op11_resampling"}
 
 
 @pytest.fixture(scope="module")
