@@ -105,16 +105,19 @@ def weather_forecasts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("weather_alerts", """
 SELECT 'a' || CAST(o_orderkey AS STRING) AS external_id, CASE o_orderkey % 3 WHEN 0 THEN 'orange' WHEN 1 THEN 'red' ELSE 'yellow' END AS severity,
-  '-5.200000,37.500000,-4.500000,38.000000' AS area_bbox FROM orders""")
+  printf('%.6f,%.6f,%.6f,%.6f', o_custkey % 10 - 8.0, 36.0 + o_orderkey % 6, o_custkey % 10 - 6.5, 36.75 + o_orderkey % 6) AS area_bbox FROM orders""")
 def weather_alerts(spark: SparkSession, sf: str) -> DataFrame:
     o = base(spark, sf, "orders")
     k = F.col("o_orderkey") % 3
+    lat, lon = 36.0 + F.col("o_orderkey") % 6, F.col("o_custkey") % 10 - 8.0
+    corner = lambda y, x: F.concat((lat + y).cast("string"), F.lit(","), (lon + x).cast("string"))
+    ring = F.concat_ws(" ", corner(0.0, 0.0), corner(0.75, 0.5), corner(0.25, 1.5), corner(0.0, 0.0))
     extra = F.when(k == 0, "<cap:parameter><cap:valueName>AEMET-Meteoalerta nivel</cap:valueName><cap:value>naranja</cap:value></cap:parameter>").otherwise("")
     xml = F.concat(
         F.lit('<cap:alert xmlns:cap="urn:oasis:names:tc:emergency:cap:1.2"><cap:identifier>a'), text("o_orderkey"),
         F.lit("</cap:identifier><cap:sent>2024-01-01T10:00:00+00:00</cap:sent><cap:info><cap:language>en</cap:language><cap:event>x</cap:event></cap:info><cap:info><cap:language>es-ES</cap:language><cap:event>Viento</cap:event><cap:severity>"),
         F.when(k == 1, "Extreme").otherwise("Moderate"), F.lit("</cap:severity>"), extra,
-        F.lit("<cap:area><cap:areaDesc>Zona</cap:areaDesc><cap:polygon>37.5,-5.2 38.0,-5.2 38.0,-4.5 37.5,-5.2</cap:polygon></cap:area></cap:info></cap:alert>"),
+        F.lit("<cap:area><cap:areaDesc>Zona</cap:areaDesc><cap:polygon>"), ring, F.lit("</cap:polygon></cap:area></cap:info></cap:alert>"),
     )
     doc = F.to_json(F.struct(F.lit("f").alias("feed_url"), F.array(F.struct(F.lit("u").alias("url"), xml.alias("xml"))).alias("messages")))
     return weather.alerts(raw(o, doc)).select("external_id", "severity", "area_bbox")

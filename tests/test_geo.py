@@ -73,15 +73,15 @@ def test_text_forms(spark):
     assert back == "POLYGON((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0))"
     assert one(spark, geo.wkt(geo.parse_line(F.lit('{"type":"MultiLineString","coordinates":[[[0,0],[1,0]],[[2,2],[3,3]]]}')))) == "LINESTRING(0.0 0.0, 1.0 0.0)"
     assert one(spark, geo.parse_line(F.lit('{"type":"Point","coordinates":[0,0]}'))) is None
-    assert one(spark, geo.polygon_text_bbox(F.lit("37.5,-5.2 38.0,-4.5"))) == "-5.200000,37.500000,-4.500000,38.000000"
-    assert one(spark, geo.polygon_text_bbox(F.lit("37.5,x"))) is None
+    assert one(spark, geo.polygon_text_bbox(F.lit("41.25,0.5 41.75,1.25"))) == "0.500000,41.250000,1.250000,41.750000"
+    assert one(spark, geo.polygon_text_bbox(F.lit("41.25,x"))) is None
 
 
 def test_projected_to_degrees(spark):
     p = one(spark, geo.utm30_to_lonlat(F.lit(500_000.0), F.lit(4_427_757.22)))
     assert p.x == pytest.approx(-3.0, abs=1e-9) and p.y == pytest.approx(40.0, abs=1e-5)
-    q = one(spark, geo.utm30_to_lonlat(F.lit(380_414.6), F.lit(4_493_761.41)))
-    assert q.x == pytest.approx(-4.41, abs=0.02) and q.y == pytest.approx(40.586, abs=0.02)
+    q = one(spark, geo.utm30_to_lonlat(F.lit(421_300.5), F.lit(4_512_080.25)))
+    assert q.x == pytest.approx(-3.932, abs=0.02) and q.y == pytest.approx(40.756, abs=0.02)
 
 
 def test_routes(spark):
