@@ -40,6 +40,13 @@ def halves(df: DataFrame, column: str) -> list[DataFrame]:
     return [df.filter(F.col(column) % 2 == 0), df.filter(F.col(column) % 2 == 1)]
 
 
+def days_spanned(rows: DataFrame, stamp: str = "observed_at") -> int:
+    """Whole days that a watermark must wait so that no row of ``rows`` is late, whatever order they arrive in."""
+    us = F.unix_micros(stamp)
+    # A day more for local time, which moves against UTC within a year.
+    return int(rows.agg(F.ceil((F.max(us) - F.min(us)) / DAY_US)).first()[0] or 0) + 1
+
+
 def detections(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "detections").select("event_id", "user_id", "observed_at")
 
@@ -49,16 +56,19 @@ def streamed_local_days(spark: SparkSession, sf: str) -> DataFrame:
     """Local days of a stream; a row far ahead closes the last day and is not part of a closed one."""
     rows = detections(spark, sf)
     # Both halves hold rows of all days: the second is as late as the watermark allows.
-    ahead = rows.agg((F.max("observed_at") + F.expr("INTERVAL 4000 DAYS")).alias("observed_at")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), "observed_at")
-    days = played([*halves(rows, "event_id"), ahead], lambda s: jobs.daily_counts(s, late="3650 days"))
-    return days.select(F.col("day").cast("string").alias("day"), "moments", "detections", civil.stamp("observed_from"), civil.stamp("observed_to"))
+    days = days_spanned(rows)
+    ahead = rows.agg((F.max("observed_at") + F.expr(f"INTERVAL {days + 3} DAYS")).alias("observed_at")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), "observed_at")
+    found = played([*halves(rows, "event_id"), ahead], lambda s: jobs.daily_counts(s, late=f"{days} days"))
+    return found.select(F.col("day").cast("string").alias("day"), "moments", "detections", civil.stamp("observed_from"), civil.stamp("observed_to"))
 
 
 @register("streamed_minutes", ctes("detections") + """
 SELECT epoch_us(date_trunc('minute', observed_at)) AS minute_us, count(*) AS "count" FROM detections GROUP BY 1""")
 def streamed_minutes(spark: SparkSession, sf: str) -> DataFrame:
     """Detections per minute; the newest state of a minute counts."""
-    out = played(halves(detections(spark, sf), "event_id"), lambda s: jobs.minute_counts(s, late="3650 days"), "update")
+    rows = detections(spark, sf)
+    days = days_spanned(rows)
+    out = played(halves(rows, "event_id"), lambda s: jobs.minute_counts(s, late=f"{days} days"), "update")
     return out.groupBy(F.unix_micros("observed_at").alias("minute_us")).agg(F.max("count").alias("count"))
 
 
@@ -67,7 +77,8 @@ SELECT user_id, event_id % 3 AS part FROM detections GROUP BY ALL""")
 def streamed_unique(spark: SparkSession, sf: str) -> DataFrame:
     """One row per user and sensor of two overlapping arrivals."""
     rows = detections(spark, sf).select("user_id", (F.col("event_id") % 3).alias("part"), F.concat_ws("|", "user_id", F.col("event_id") % 3).alias("deduplication_hash"), F.col("observed_at").alias("received_at"))
-    return played([rows, rows], lambda s: jobs.deduplicated(s, days=3650)).select("user_id", "part")
+    days = days_spanned(rows, "received_at")
+    return played([rows, rows], lambda s: jobs.deduplicated(s, days=days)).select("user_id", "part")
 
 
 @register("streamed_positions", ctes("detections") + """

@@ -11,7 +11,7 @@ from emberlake.plans import civil
 from emberlake.plans.sessions import activity_sessions
 from emberlake.registry.civil import _SUMMER
 from emberlake.registry.osint import sql_normal
-from emberlake.registry.streams import halves, played
+from emberlake.registry.streams import days_spanned, halves, played
 from emberlake.streaming import jobs
 
 QUERIES, ORACLE = {}, {}
@@ -45,9 +45,10 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The same from a stream; a row far ahead closes the last sessions."""
     rows = load(spark, sf, "detections").select("event_id", "user_id", "observed_at", "frp_mw")
-    ahead = rows.agg((F.max("observed_at") + F.expr("INTERVAL 4000 DAYS")).alias("observed_at")).select(
+    days = days_spanned(rows)
+    ahead = rows.agg((F.max("observed_at") + F.expr(f"INTERVAL {days + 3} DAYS")).alias("observed_at")).select(
         F.lit(None).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "observed_at", F.lit(None).cast("double").alias("frp_mw"))
-    return _sessions(played([*halves(rows, "event_id"), ahead], lambda s: jobs.sessions(s, ["user_id"], late="3650 days")))
+    return _sessions(played([*halves(rows, "event_id"), ahead], lambda s: jobs.sessions(s, ["user_id"], late=f"{days} days")))
 
 
 # Metadata with missing, null and mistyped values, nested objects, and texts that are no JSON.

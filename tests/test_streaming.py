@@ -187,3 +187,17 @@ def test_snapshot_table_keeps_the_last_good_state(spark, tmp_path):
     assert table.mutate(lambda current: current.limit(0)) is None and table.read().count() == 3
     table.mutate(lambda current: current.filter("x > 0"))
     assert table.version() == 2 and table.read().count() == 2
+
+
+def test_registered_streams_keep_rows_of_half_a_century(spark, monkeypatch):
+    """Archives longer than ten years: no row of the second part is late, and the last days and sessions are closed."""
+    from emberlake.registry import streams, surface
+
+    rows = [(i, i % 3, f"{1980 + i * 7 % 48}-05-0{1 + i % 9} 10:00:00", 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t string, frp_mw double").withColumn("observed_at", F.col("t").cast("timestamp")).drop("t")
+    monkeypatch.setattr(streams, "load", lambda *_: df)
+    monkeypatch.setattr(surface, "load", lambda *_: df)
+    assert streams.streamed_local_days(spark, "").agg(F.sum("detections")).first()[0] == 40
+    assert streams.streamed_minutes(spark, "").agg(F.sum("count")).first()[0] == 40
+    assert streams.streamed_unique(spark, "").count() == len({(u, e % 3) for e, u, *_ in rows})
+    assert surface.streamed_sessions(spark, "").agg(F.sum("detections")).first()[0] == 40
