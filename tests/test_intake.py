@@ -60,3 +60,15 @@ def test_witnesses_are_promoted_from_the_third_on(spark):
 def test_equal_rows_do_not_cancel_in_a_fingerprint(spark):
     one, two = spark.createDataFrame([(1,), (1,)], "v int"), spark.createDataFrame([(2,), (2,)], "v int")
     assert civil.fingerprint(one).collect() != civil.fingerprint(two).collect()
+
+
+def test_assignment_takes_the_newest_incident_by_place_or_two_words(spark):
+    pubs = [("a", "fire", T0, ["X"], "Foc"), ("b", "fire", T0, ["X", "Y"], "Foc"), ("c", "fire", T0, [], "serra gran barranc"), ("d", "fire", T0, [], "serra llunyana"), ("e", "flood", T0, ["X"], "Foc")]
+    p = spark.createDataFrame(pubs, "id string, risk_type string, published_at timestamp, place_names array<string>, title string")
+    rows = [(f"i{n}", "fire", T0 - timedelta(hours=n), ["x"], "res", False) for n in range(200)]
+    rows += [("old", "flood", T0 - timedelta(days=8), ["x"], "res", False), ("z", "fire", T0, ["X"], "res", False), ("y", "fire", T0 + timedelta(hours=1), ["Y"], "barranc serra", False), ("m", "fire", T0 + timedelta(hours=9), ["Y"], "res", True)]
+    i = spark.createDataFrame(rows, "id string, risk_type string, observed_at timestamp, affected_locations array<string>, title string, multi_incident_summary boolean").withColumn("summary", F.lit(None).cast("string"))
+    out = osint.assign_to_incidents(p, i)
+    assert dict(map(tuple, out.collect())) == {"a": "z", "b": "y", "c": "y"}
+    # Incidents fold to a row per key before the join: no join sees an incident.
+    assert "incident_id" not in "".join(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
