@@ -23,14 +23,14 @@ def match_aircraft(positions: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def live_aircraft(positions: list[DataFrame], registry: DataFrame, as_of: str) -> DataFrame:
-    """One row per aircraft, newest position first source first."""
+    """One row per aircraft, newest position first source first; of equal times the fastest, then by place."""
     rows = None
     for rank, df in enumerate(positions):
         tagged = df.withColumn("source_rank", F.lit(rank))
         rows = tagged if rows is None else rows.unionByName(tagged)
     matched = match_aircraft(rows, registry)
     key = F.concat(F.lit("aircraft-"), F.col("aircraft.id"), F.lit("-"), F.coalesce(F.nullif("icao24", F.lit("")), F.col("call_key")))
-    one = top_rows(matched.withColumn("feature_id", key), ["feature_id"], [F.col("source_rank").asc(), F.col("observed_at").desc()])
+    one = top_rows(matched.withColumn("feature_id", key), ["feature_id"], [F.col("source_rank").asc(), F.col("observed_at").desc(), F.col("velocity_mps").desc(), F.col("longitude").asc(), F.col("latitude").asc()])
     known = F.col("by_address") & (F.col("source_rank") == 0)
     return one.withColumns(
         {

@@ -51,10 +51,9 @@ def feed_items(spark: SparkSession, sf: str) -> DataFrame:
 @register("page_anchors", """
 SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=[^>]*>')) AS BIGINT) AS anchors FROM pages WHERE regexp_matches(html, '(?i)<a ')""")
 def page_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    pages = base(spark, sf, "pages")
-    found = feeds.anchors(pages, min_length=0)
-    joined = found.join(pages.select("page_id", F.col("url").alias("page_url")), "page_url")
-    return joined.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
+    """Links of every page; several pages may have one address."""
+    found = feeds.anchors(base(spark, sf, "pages"), min_length=0, keep=("page_id",))
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
 
 
 @register("page_publications")
@@ -204,17 +203,17 @@ def plan_notices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("live_aircraft", """
-SELECT 'ES-EMG-' || CAST(c_custkey AS STRING) AS aircraft_id, count(*) > 0 AS seen, round(arg_max(value * 3.6e0, (ts, event_id)), 1) AS velocity_kmh
+SELECT 'ES-EMG-' || CAST(c_custkey AS STRING) AS aircraft_id, count(*) > 0 AS seen, round(arg_max(value * 3.6e0, (ts, value)), 1) AS velocity_kmh
 FROM events JOIN customer ON c_custkey = user_id WHERE event_type <> 'error' GROUP BY 1""")
 def live_aircraft(spark: SparkSession, sf: str) -> DataFrame:
-    """Newest airborne position of every registered aircraft, from state payloads."""
+    """Newest airborne position of every registered aircraft, from state payloads; of equal times the fastest."""
     hexed = lambda c: F.lower(F.lpad(F.hex(F.col(c)), 6, "0"))
     reg_doc = F.to_json(F.struct(F.array(F.struct(
         F.concat(F.lit("ES-EMG-"), text("c_custkey")).alias("id"), hexed("c_custkey").alias("icao24"), F.col("c_name").alias("registration"), F.lit("op").alias("operator"))).alias("aircraft")))
     registry = notices.aircraft_registry(raw(base(spark, sf, "customer"), reg_doc))
     e = base(spark, sf, "events")
     null = F.lit(None).cast("string")
-    state = F.array(hexed("user_id"), F.lit("CALL"), F.lit("Spain"), null, F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("-3.5"), F.lit("40.1"), null,
+    state = F.array(hexed("user_id"), F.lit("CALL"), F.lit("Spain"), null, (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("string"), F.lit("-3.5"), F.lit("40.1"), null,
                     F.when(F.col("event_type") == "error", "true").otherwise("false"), text("value"))
     doc = F.concat(F.lit('{"states":['), F.to_json(state), F.lit("]}"))
     out = aircraft.live_aircraft([notices.state_vectors(raw(e, doc))], registry, AS_OF)

@@ -75,14 +75,14 @@ def absolute_url(base: Column, href: Column) -> Column:
     )
 
 
-def anchors(pages: DataFrame, min_length: int = 20) -> DataFrame:
-    """(page_url, position, url, title) of links whose text is long enough."""
+def anchors(pages: DataFrame, min_length: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_url, position, url, title) of links whose text is long enough, after the ``keep`` columns of their page."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)<(a\b[^>]*\bhref\s*=[^>]*>.*?</a)\s*>"), F.lit(1))
-    rows = pages.select(F.col("url").alias("page_url"), F.posexplode(found).alias("position", "a"))
+    rows = pages.select(*keep, F.col("url").alias("page_url"), F.posexplode(found).alias("position", "a"))
     href = F.regexp_extract("a", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     title = X.collapse(X.decode_entities(F.regexp_replace(F.regexp_replace("a", r"(?is)^a\b[^>]*>|</a$", ""), r"(?s)<[^>]*>", " ")))
-    out = rows.select("page_url", "position", X.decode_entities(href).alias("href"), title.alias("title")).filter(F.length("title") >= min_length)
-    return out.select("page_url", "position", absolute_url(F.col("page_url"), F.col("href")).alias("url"), "title")
+    out = rows.select(*keep, "page_url", "position", X.decode_entities(href).alias("href"), title.alias("title")).filter(F.length("title") >= min_length)
+    return out.select(*keep, "page_url", "position", absolute_url(F.col("page_url"), F.col("href")).alias("url"), "title")
 
 
 POSTS = (

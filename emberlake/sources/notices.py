@@ -100,7 +100,7 @@ def state_vectors(raw: DataFrame) -> DataFrame:
     num = lambda i: at(i).try_cast("double")
     typed = rows.select(
         X.icao24(at(0)).alias("icao_key"), F.lower(F.coalesce(at(0), F.lit(""))).alias("icao24"), F.trim(F.coalesce(at(1), F.lit(""))).alias("callsign"), X.alnum_token(at(1)).alias("call_key"),
-        at(2).alias("origin_country"), F.coalesce(F.timestamp_seconds(at(4).try_cast("long")), F.col("fetched_at")).alias("observed_at"), num(5).alias("longitude"), num(6).alias("latitude"),
+        at(2).alias("origin_country"), F.coalesce(F.timestamp_seconds(at(4).try_cast("decimal(18,6)")), F.col("fetched_at")).alias("observed_at"), num(5).alias("longitude"), num(6).alias("latitude"),
         F.coalesce(at(8) == "true", F.lit(False)).alias("on_ground"), F.coalesce(num(13), num(7)).alias("altitude_m"), num(9).alias("velocity_mps"),
         F.round(num(9) * 3.6, 1).alias("velocity_kmh"), num(10).alias("heading_degrees"), num(11).alias("vertical_rate_mps"), at(14).alias("squawk"), at(16).alias("position_source"),
         F.lit("OpenSky Network").alias("source_name"),

@@ -198,3 +198,20 @@ def test_posts_catalogue_intake_and_dead_letters(spark, raw):
     assert feeds.intake(raw(json.dumps([{"external_id": "1"}, {"external_id": "2"}])), max_batch=1)[1].count() == 1
     ok, dead = split_json(raw("{not json", '{"a":1}'), "struct<a:int>")
     assert ok.count() == 1 and dead.first().rule == "payload_is_json"
+
+
+def test_anchors_of_pages_with_one_address(spark):
+    pages = spark.createDataFrame([(1, "https://e.org/p", "<a href='x'>un</a>"), (2, "https://e.org/p", "<a href='y'>dos</a><a href='z'>tres</a>")], "page_id long, url string, html string")
+    found = feeds.anchors(pages, min_length=0, keep=("page_id",))
+    assert {r.page_id: r["count"] for r in found.groupBy("page_id").count().collect()} == {1: 1, 2: 2}
+
+
+def test_positions_within_one_second_have_an_order(spark, raw):
+    from emberlake.plans.aircraft import live_aircraft
+
+    registry = notices.aircraft_registry(raw(json.dumps({"aircraft": [{"id": "ES-EMG-1", "icao24": "34A1B2", "registration": "EC-ABC", "operator": "OP"}]})))
+    state = lambda at, speed: ["34a1b2", "CALL", "Spain", None, at, -3.5, 40.1, 900, False, speed, 90.0]
+    for speeds in ([30.0, 50.0, 40.0, 90.0], [90.0, 40.0, 50.0, 30.0]):
+        at = {30.0: "1785196800.25", 50.0: "1785196800.75", 40.0: "1785196800.75", 90.0: "1785196800.5"}
+        a = notices.state_vectors(raw(json.dumps({"states": [state(at[s], s) for s in speeds]})))
+        assert [r.velocity_mps for r in live_aircraft([a], registry, "2026-07-28 01:00:00").collect()] == [50.0]
