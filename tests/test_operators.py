@@ -264,3 +264,13 @@ def test_links_cross_the_180th_meridian(spark):
     df = spark.createDataFrame(rows, "id string, lon double, lat double").withColumn("t", F.lit("2026-01-01").cast("timestamp"))
     got = {(r.first_id, r.second_id) for r in link_points(df, id_col="id", lon="lon", lat="lat", time="t", max_distance_m=500).collect()}
     assert got == {("a", "b"), ("a", "d"), ("a", "e"), ("b", "d"), ("b", "e"), ("d", "e"), ("f", "g")}
+
+
+def test_a_well_compressed_cut_is_not_broadcast_by_its_file_size(spark):
+    """A few hundred kilobytes of files may be tens of megabytes in memory, which would pass through the driver."""
+    from emberlake.session import cut_lineage
+
+    key = F.concat(F.lit("2024-01-01|viirs|" * 8), (F.col("id") % 50).cast("string"))
+    rows = cut_lineage(spark.range(100_000).select("id", key.alias("g"), key.alias("h")), "repeated")
+    plan = rows.join(rows.select("id", F.col("g").alias("k")), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
