@@ -154,3 +154,23 @@ def test_places_must_match_one_boundary(spark):
     b = b.withColumn("geometry", F.lit(None).cast(GEOMETRY))
     locations = mentions.resolve_places(n, b).first().locations
     assert [(p.name, p.matched) for p in locations] == [("ARTANA", True), ("Vila", False), ("Cap", False)]
+
+
+def test_gazetteer_sql_states_the_rule_of_the_query(spark, monkeypatch):
+    """Names that end in a letter without an ASCII form, and names of three parts."""
+    import duckdb
+
+    from emberlake.registry import osint
+    from tools.check import rows_of
+
+    rows = [(1, "Acherß baut. Acherß und Acherß"), (2, "Graßauß"), (3, "Oberßdorfßbach liegt am Acherß hier"), (4, "der Acherß")]
+    data = [(i, f"pub-{i}", "Commune 1", f"T. {t}", t) for i, t in rows]
+    pubs = spark.createDataFrame(data, "doc_id long, id string, place string, original_text string, body string")
+    monkeypatch.setattr(osint, "load", lambda *_: pubs)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE publications (doc_id BIGINT, id VARCHAR, place VARCHAR, original_text VARCHAR, body VARCHAR)")
+    con.executemany("INSERT INTO publications VALUES (?, ?, ?, ?, ?)", data)
+    sql = osint.ORACLE["gazetteer_occurrences"]
+    cur = con.execute("WITH " + sql[sql.index(", g AS (") + 2:])
+    df = osint.gazetteer_occurrences(spark, "")
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
