@@ -274,3 +274,39 @@ def test_a_well_compressed_cut_is_not_broadcast_by_its_file_size(spark):
     rows = cut_lineage(spark.range(100_000).select("id", key.alias("g"), key.alias("h")), "repeated")
     plan = rows.join(rows.select("id", F.col("g").alias("k")), "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_components_leave_fewer_edges_every_round(spark, monkeypatch):
+    from emberlake.operators import components
+
+    left, cut = [], components.cut_lineage
+
+    def counted(df, label):
+        out = cut(df, label)
+        if label == "live-edges":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    edges = [(i, i + 1) for i in range(600)] + [(1000, i) for i in range(1001, 1200)] + [(2000, 2000)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == closure(edges)
+    assert left[-1] == 0 and all(b < a for a, b in zip(left, left[1:])) and sum(left[1:]) <= 2 * left[0]
+
+
+def test_rectangles_are_measured_like_other_shapes(spark):
+    from pyspark.sql import functions as F
+
+    from emberlake.functions import geo
+    from emberlake.operators.distance import with_distance
+
+    boxes = [(0.0, 40.0, 0.1, 40.1), (0.05, 40.05, 0.2, 40.2), (0.12, 40.0, 0.13, 40.3), (0.3, 40.02, 0.31, 40.04), (0.0, 40.101, 0.1, 40.12), (0.02, 40.02, 0.03, 40.03)]
+    rows = spark.createDataFrame([(i, j, *a, *b) for i, a in enumerate(boxes) for j, b in enumerate(boxes)], "i int, j int, " + ", ".join(f"{s}{k} double" for s in "ab" for k in range(4)))
+    shaped = rows.select("i", "j", geo.box(*[F.col(f"a{k}") for k in range(4)]).alias("a"), geo.box(*[F.col(f"b{k}") for k in range(4)]).alias("b"))
+    assert shaped.filter(geo.rectangle(F.col("a")).isNull()).count() == 0
+    general = F.transform("a.parts", lambda rings: F.transform(rings, lambda r: F.concat(r, F.slice(r, 1, 1))))
+    bent = shaped.withColumn("a", F.struct(F.col("a.kind"), general.alias("parts")))
+    assert bent.filter(geo.rectangle(F.col("a")).isNotNull()).count() == 0
+    quick = {(r.i, r.j): r.m for r in with_distance(shaped, "a", "b", "m", 50_000.0).collect()}
+    slow = {(r.i, r.j): r.m for r in with_distance(bent, "a", "b", "m", 50_000.0).collect()}
+    assert quick == pytest.approx(slow, abs=1e-6)
