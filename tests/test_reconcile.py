@@ -103,3 +103,17 @@ def test_empty_publication_incidents_are_hidden(spark):
     inc = spark.createDataFrame([("i", True, "", False), ("j", True, "", False), ("k", True, "EFFIS", False), ("l", False, "", False)], "id string, osint boolean, canonical_source string, hidden boolean")
     pubs = spark.createDataFrame([("p", "i")], "id string, incident_id string")
     assert {r.id for r in R.hide_empty(inc, pubs).filter("hidden").collect()} == {"j"}
+
+
+def test_fires_far_away_stand_for_all_of_their_name_and_time(spark):
+    from emberlake.functions import geo
+
+    day, none = 86_400.0, F.array().cast("array<string>")
+    pubs = spark.createDataFrame([("p", "incendi a sant joan", 100 * day)], "pub_id string, text string, pub_at double").withColumns(
+        {"pub_geometry": geo.point(F.lit(0.0), F.lit(40.0)), "pub_tags": none, "pub_places": F.array(F.lit("sant joan"))})
+    fires = spark.range(400).select(
+        F.concat(F.lit("per-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("perimeter_id"), F.lit("sant joan").alias("commune"), F.lit("girona").alias("province"),
+        (F.lit(86 * day) + F.floor(F.col("id") / 10) * day).alias("fire_at"), none.alias("fire_tags"), none.alias("fire_places"),
+        F.when(F.col("id") == 7, geo.box(F.lit(0.01), F.lit(40.0), F.lit(0.02), F.lit(40.01))).otherwise(geo.box(F.lit(5.0), F.lit(40.0), F.lit(5.1), F.lit(40.1))).alias("fire_geometry"))
+    got = sorted(r.perimeter_id for r in R.match_candidates(pubs, fires).collect())
+    assert got == ["per-0007", "per-0170", "per-0280"]
