@@ -310,3 +310,19 @@ def test_rectangles_are_measured_like_other_shapes(spark):
     quick = {(r.i, r.j): r.m for r in with_distance(shaped, "a", "b", "m", 50_000.0).collect()}
     slow = {(r.i, r.j): r.m for r in with_distance(bent, "a", "b", "m", 50_000.0).collect()}
     assert quick == pytest.approx(slow, abs=1e-6)
+
+
+def test_routes_end_around_their_goal_not_at_the_end_of_the_road(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from emberlake.functions import geo
+    from emberlake.operators import roads
+
+    rounds, cut = [], roads.cut_lineage
+    monkeypatch.setattr(roads, "cut_lineage", lambda df, label: (rounds.append(label), cut(df, label))[1])
+    x = F.col("id") / 100.0
+    lines = spark.range(25).select(F.lit("N-1").alias("road_key"), F.col("id").alias("segment_id"), F.array(geo.xy(x, F.lit(40.0)), geo.xy(x + 0.01, F.lit(40.0))).alias("path"))
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit("N-1").alias("road_key"), geo.xy(F.lit(0.021), F.lit(40.0)).alias("start"), geo.xy(F.lit(0.039), F.lit(40.0)).alias("end"))
+    found = roads.shortest_routes(asked, lines).collect()
+    assert [round(p.x, 4) for p in found[0].path] == [0.02, 0.03, 0.04]
+    assert rounds.count("routes") <= 5
