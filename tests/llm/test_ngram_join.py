@@ -101,3 +101,11 @@ def test_thresholds_out_of_reach_are_errors():
     for threshold in (0.1, 0.0, 1.5):
         with pytest.raises(ValueError):
             N.depth_for(threshold)
+
+
+def test_registered_query_keeps_its_broadcasts_small(spark):
+    import __spark_entry__ as contract
+
+    contract.queries()["op1_ngram_join"](spark, "/root/testdata/sf0.001")
+    limits = [spark.conf.get(f"spark.sql.{k}") for k in ("autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold")]
+    assert limits == ["256KB", "256KB"]
