@@ -54,9 +54,9 @@ def group_detections(points: DataFrame) -> DataFrame:
     place = F.concat_ws("|", "day", "family", F.col("longitude").cast("string"), F.col("latitude").cast("string"))
     keyed = points.withColumn("place", place)
     edges = place_pairs(points).select(F.col("a_place").alias("src"), F.col("b_place").alias("dst"))
-    alone = keyed.select(F.col("place").alias("src"), F.col("place").alias("dst")).distinct()
-    comp = connected_components(edges.unionByName(alone)).select(F.col("node").alias("place"), F.col("component").alias("group"))
-    return salted_join(keyed, comp, ["place"], F.col("id"))
+    comp = connected_components(edges).select(F.col("node").alias("place"), F.col("component").alias("group"))
+    # A place without a neighbour is a group of its own; no round needs to see it.
+    return salted_join(keyed, comp, ["place"], F.col("id"), "left").withColumn("group", F.coalesce("group", "place"))
 
 
 def project(grouped: DataFrame) -> DataFrame:
