@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlake.adapters import AS_OF, base, ctes, load
 from emberlake.functions import fixed
 from emberlake.operators import merge
+from emberlake.operators.stage import spread
 from emberlake.plans import aircraft, osint
 from emberlake.registry import civil
 from emberlake.sources import feeds, notices, roads, traffic, weather
@@ -26,7 +27,8 @@ def register(name: str, sql: str | None = None):
 
 
 def raw(df: DataFrame, payload: Column, url: Column | None = None) -> DataFrame:
-    """Payload rows as a landing zone would hold them."""
+    """Payload rows as a landing zone would hold them; parsing is heavy per byte, so few splits are spread over the cores."""
+    df = spread(df)
     where = url if url is not None else F.lit("https://example.org/feed")
     return df.select(where.alias("url"), payload.alias("payload"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlake.functions import dates, fixed, geo, units
 from emberlake.functions import text as X
 from emberlake.functions.text import clean
+from emberlake.operators.stage import computed
 from emberlake.sources.raw import require_rows
 from emberlake.sources.roads import features
 
@@ -64,13 +65,16 @@ COUNTRIES = ["spain", "espana", "españa", "es"]
 def burnt_areas(raw: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
     """Burnt-area features: upper-case keys, country and region admission, dates and area."""
     west, south, east, north = bbox
-    rows = features(raw).withColumn("geometry", geo.parse_area(F.get_json_object("feature", "$.geometry"))).filter("geometry IS NOT NULL")
-    attrs = F.from_json(F.get_json_object("feature", "$.properties"), "map<string,string>")
-    rows = rows.withColumn("f", F.map_from_entries(F.transform(F.map_entries(attrs), lambda e: F.struct(F.upper(e["key"]).alias("k"), e["value"].alias("v")))))
-    rows = rows.withColumn("b", geo.bbox(F.col("geometry")))
+    # Each step is evaluated once and read by the filters and columns behind it.
+    rows = computed(features(raw), shape=F.get_json_object("feature", "$.geometry"), attrs=F.from_json(F.get_json_object("feature", "$.properties"), "map<string,string>"))
+    rows = computed(rows, f=F.map_from_entries(F.transform(F.map_entries("attrs"), lambda e: F.struct(F.upper(e["key"]).alias("k"), e["value"].alias("v")))))
     country = clean(F.col("f")["COUNTRY"])
+    rows = rows.filter((country.isNull() | F.lower(country).isin(COUNTRIES)) & (F.coalesce(F.col("f")["ID"], F.lit("")) != ""))
+    rows = computed(rows, **geo.area_steps(F.col("shape")))
+    rows = computed(rows, geometry=geo.area_of(F.col("kind"), F.col("parts"))).filter("geometry IS NOT NULL")
+    rows = computed(rows, b=geo.bbox(F.col("geometry")))
     near = (F.col("b.xmax") >= west) & (F.col("b.xmin") <= east) & (F.col("b.ymax") >= south) & (F.col("b.ymin") <= north)
-    kept = rows.filter(near & (country.isNull() | F.lower(country).isin(COUNTRIES)) & (F.coalesce(F.col("f")["ID"], F.lit("")) != ""))
+    kept = rows.filter(near)
     external = F.concat(F.lit("effis:"), F.col("f")["ID"])
     update = dates.iso(F.col("f")["LASTUPDATE"])
     return kept.select(
@@ -82,7 +86,7 @@ def burnt_areas(raw: DataFrame, bbox: tuple[float, float, float, float]) -> Data
             F.create_map(F.lit("operational_extinction_status_available"), F.lit("false"),
                          F.lit("operational_extinction_status_note"), F.lit("EFFIS no publica les tasques operatives d'extincio.")),
         ).alias("metadata"),
-        F.sha2(F.concat_ws("|", external, F.coalesce(F.date_format(update, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("")), F.get_json_object("feature", "$.geometry")), 256).alias("deduplication_hash"),
+        F.sha2(F.concat_ws("|", external, F.coalesce(F.date_format(update, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("")), "shape"), 256).alias("deduplication_hash"),
     )
 
 

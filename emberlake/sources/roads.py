@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import fixed, geo, units
 from emberlake.functions.text import clean
+from emberlake.operators.stage import computed
 
 
 def features(raw: DataFrame) -> DataFrame:
     """One row per feature of a GeoJSON FeatureCollection payload (feature as JSON text)."""
     doc = F.from_json("payload", "struct<type:string,features:array<string>>")
-    return raw.select(doc.alias("doc")).filter("doc.type = 'FeatureCollection'").select(F.explode("doc.features").alias("feature"))
+    return computed(raw.select("payload"), doc=doc).filter("doc.type = 'FeatureCollection'").select(F.explode("doc.features").alias("feature"))
 
 
 def transport_features(raw: DataFrame) -> DataFrame:
