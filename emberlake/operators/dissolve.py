@@ -1,9 +1,10 @@
 """Exact union of lattice rectangles as polygons with holes.
 
-Rectangles of one group are cut along the coordinate lines that bound them, equal
-pieces are kept once, and edges shared by two pieces cancel. What is left is the
-boundary, chained into rings by repeated pairwise merging. All steps are joins and
-aggregations on (group, coordinate) keys.
+Groups of a bounded number of rectangles are dissolved inside tasks, many at a time
+(``operators.rectangles``). Rectangles of a larger group are cut along the coordinate lines
+that bound them, equal pieces are kept once, and edges shared by two pieces cancel. What is
+left is the boundary, chained into rings by repeated pairwise merging; these steps are joins
+and aggregations on (group, coordinate) keys. Both ways give the same rings.
 """
 
 from __future__ import annotations
@@ -13,21 +14,32 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import fixed, geo
 from emberlake.operators.grid_join import Box, grid_join
+from emberlake.operators.rectangles import dissolved
+from emberlake.operators.skew import salted_join
 from emberlake.session import cut_lineage, drop_cut
 
+#: Parts of a cell that bounds are rounded to.
+SCALE = 1_000
+#: Rectangles of a group that one task dissolves; larger groups are spread over tasks.
+TASK_CELLS = 200_000
 
-def unit_pieces(cells: DataFrame, group: str, col: str, row: str, half_col: str, half_row: str) -> DataFrame:
-    """(group, x0, x1, y0, y1): elementary rectangles on the micro-lattice of every group.
 
-    Bounds are whole multiples of one thousandth of a cell. A half span of one half is
-    a plain lattice; larger spans overlap and are cut at every foreign bound they cover.
-    """
-    scale = 1_000
-    mil = lambda c: F.round(c * scale).cast("long")
-    rects = cells.select(
+def lattice_rectangles(cells: DataFrame, group: str, col: str, row: str, half_col: str, half_row: str) -> DataFrame:
+    """(g, l, r, b, t): rectangles, bounds in thousandths of a cell."""
+    mil = lambda c: F.round(c * SCALE).cast("long")
+    return cells.select(
         F.col(group).alias("g"), mil(F.col(col) - F.col(half_col)).alias("l"), mil(F.col(col) + F.col(half_col)).alias("r"),
         mil(F.col(row) - F.col(half_row)).alias("b"), mil(F.col(row) + F.col(half_row)).alias("t"),
-    ).distinct()
+    )
+
+
+def unit_pieces(rects: DataFrame) -> DataFrame:
+    """(g, x0, x1, y0, y1): elementary rectangles on the micro-lattice of every group.
+
+    A half span of one half is a plain lattice; larger spans overlap and are cut at every
+    foreign bound they cover.
+    """
+    scale = SCALE
 
     # Bounds can only fall inside a rectangle at offsets set by the span, so every
     # rectangle lists its own cuts: neighbours at whole cells left and right of it.
@@ -47,7 +59,7 @@ def unit_pieces(cells: DataFrame, group: str, col: str, row: str, half_col: str,
         n = F.size(c)
         return F.zip_with(F.slice(c, F.lit(1), n - 1), F.slice(c, F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    split = rects.withColumn("xs", cuts("l", "r")).withColumn("ys", cuts("b", "t"))
+    split = rects.distinct().withColumn("xs", cuts("l", "r")).withColumn("ys", cuts("b", "t"))
     return (
         split.select("g", F.explode(spans("xs")).alias("x"), "ys").select("g", "x", F.explode(spans("ys")).alias("y"))
         .select("g", F.col("x.a").alias("x0"), F.col("x.b").alias("x1"), F.col("y.a").alias("y0"), F.col("y.b").alias("y1"))
@@ -104,8 +116,9 @@ def chain_rings(edges: DataFrame) -> DataFrame:
         drop_cut(before)
         if not state.agg(F.count_if("moved")).first()[0]:
             break
-    # ``at`` counts steps to the smallest edge, so descending order walks the ring from it.
-    ring = F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("o"), F.col("id"))))
+    # ``at`` counts steps to the smallest edge, so descending order walks the ring behind it; that edge itself comes first.
+    place = F.when(F.col("at") > 0, -F.col("at")).otherwise(F.lit(-(2**62)))
+    ring = F.array_sort(F.collect_list(F.struct(place.alias("o"), F.col("id"))))
     rings = state.groupBy("g", "low").agg(ring.alias("r"))
     corners = F.transform("r", lambda s: F.struct((s["id"]["s"]["x"] / 1000.0).alias("x"), (s["id"]["s"]["y"] / 1000.0).alias("y")))
     return rings.select("g", corners.alias("open"))
@@ -125,9 +138,9 @@ def straighten(rings: DataFrame) -> DataFrame:
     return kept.select("g", F.concat("bent", F.slice("bent", 1, 1)).alias("ring"))
 
 
-def dissolve_cells(cells: DataFrame, group: str, col: str, row: str, half_col: str, half_row: str) -> DataFrame:
-    """(group, part, rings): polygons in cell units, outer ring first, holes after it."""
-    rings = cut_lineage(straighten(chain_rings(boundary_edges(unit_pieces(cells, group, col, row, half_col, half_row)))), "rings")
+def _spread(rects: DataFrame) -> DataFrame:
+    """(g, outer_area, rings) of groups of any size, by joins and rounds over all edges."""
+    rings = cut_lineage(straighten(chain_rings(boundary_edges(unit_pieces(rects)))), "rings")
     measured = rings.select("g", "ring", geo.ring_area(F.col("ring")).alias("area"))
     outer = measured.filter("area > 0").select("g", F.col("ring").alias("outer"), F.col("area").alias("outer_area"))
     holes = measured.filter("area < 0").select("g", F.col("ring").alias("hole"))
@@ -150,6 +163,21 @@ def dissolve_cells(cells: DataFrame, group: str, col: str, row: str, half_col: s
         .groupBy("g", "outer").agg(F.sort_array(F.collect_list("hole")).alias("holes"))
     )
     none = F.array().cast("array<array<struct<x:double,y:double>>>")
-    return outer.join(home, ["g", "outer"], "left").select(
-        F.col("g").alias(group), "outer_area", F.concat(F.array("outer"), F.coalesce("holes", none)).alias("rings")
+    return outer.join(home, ["g", "outer"], "left").select("g", "outer_area", F.concat(F.array("outer"), F.coalesce("holes", none)).alias("rings"))
+
+
+def dissolve_cells(cells: DataFrame, group: str, col: str, row: str, half_col: str, half_row: str, task_cells: int = TASK_CELLS) -> DataFrame:
+    """(group, outer_area, rings): polygons in cell units, outer ring first, holes after it.
+
+    A group of more than ``task_cells`` rectangles is spread over the tasks.
+    """
+    rects = cut_lineage(lattice_rectangles(cells, group, col, row, half_col, half_row), "rectangles")
+    large = cut_lineage(rects.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_cells).select("g"), "large-groups")
+    kind = rects.schema["g"].dataType.simpleString()
+    in_tasks = lambda rows: rows.repartition("g").sortWithinPartitions("g").mapInArrow(
+        dissolved(SCALE), f"g {kind}, outer_area double, rings array<array<struct<x:double,y:double>>>"
     )
+    if not large.limit(1).count():
+        return in_tasks(rects).withColumnRenamed("g", group)
+    out = in_tasks(rects.join(large, "g", "left_anti")).unionByName(_spread(salted_join(rects, large, ["g"], F.col("l"), "left_semi")))
+    return out.withColumnRenamed("g", group)

@@ -151,26 +151,32 @@ def _to_lonlat(p: Column) -> Column:
 
 
 def label_cells(cells: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(group, column, row): the occupied cell nearest to the centroid of the largest polygon, inside it when possible."""
-    biggest = top_rows(polygons, ["group"], [F.col("outer_area").desc()]).select("group", "rings", geo.ring_centroid(F.col("rings")[0]).alias("target"))
+    """(group, column, row): the occupied cell nearest to the centroid of the largest polygon, inside it when possible.
+
+    The only cell of a group needs no polygon.
+    """
+    lone = cells.groupBy("group").agg(F.min("column").alias("column"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    cells = cells.join(lone, "group", "left_anti")
+    polygons = polygons.join(lone, "group", "left_anti")
+    biggest = top_rows(polygons, ["group"], [F.col("outer_area").desc(), F.col("rings").asc()]).select("group", "rings", geo.ring_centroid(F.col("rings")[0]).alias("target"))
     rows = salted_join(cells, biggest, ["group"], F.col("column"))
     inside = geo.in_polygon(F.col("column").cast("double"), F.col("row").cast("double"), F.col("rings"))
     gap = F.hypot(F.col("column") - F.col("target.x"), F.col("row") - F.col("target.y"))
     order = F.struct((~inside).alias("outside"), F.round(gap, 9).alias("gap"), "column", "row")
-    return rows.groupBy("group").agg(F.min_by(F.struct("column", "row"), order).alias("c")).select("group", "c.*")
+    return lone.unionByName(rows.groupBy("group").agg(F.min_by(F.struct("column", "row"), order).alias("c")).select("group", "c.*"))
 
 
 def detection_areas(detections: DataFrame) -> DataFrame:
     """One row per group: counts, span, grid, area, label point and dissolved geometry in degrees."""
     grid = cut_lineage(oriented_grid(group_detections(detection_points(detections))), "grid")
-    cells = grid.select("group", "column", "row", *GRID, "family").dropDuplicates(["group", "column", "row"]).withColumns(
+    cells = grid.groupBy("group", "column", "row").agg(*[F.first(c).alias(c) for c in ("width", "height", "horizontal", "vertical")]).withColumns(
         {
             "half_col": F.greatest(F.col("width") / F.col("horizontal") / 2, F.lit(0.5)),
             "half_row": F.greatest(F.col("height") / F.col("vertical") / 2, F.lit(0.5)),
         }
     )
     polygons = cut_lineage(dissolve_cells(cells, "group", "column", "row", "half_col", "half_row"), "dissolved")
-    label = label_cells(cells.select("group", "column", "row"), polygons).select("group", F.struct(F.col("column").cast("double").alias("x"), F.col("row").cast("double").alias("y")).alias("label"))
+    label = label_cells(cut_lineage(cells.select("group", "column", "row"), "cells"), polygons).select("group", F.struct(F.col("column").cast("double").alias("x"), F.col("row").cast("double").alias("y")).alias("label"))
     head = grid.groupBy("group").agg(
         *[F.first(c).alias(c) for c in [*GRID, "family", "detections", "oldest_detection_at", "newest_detection_at", "first"]],
         F.countDistinct("column", "row").alias("cells"),
