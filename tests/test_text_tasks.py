@@ -35,6 +35,25 @@ def test_words_that_begin_no_place_become_no_rows(spark, monkeypatch):
     assert few == {tuple(r) for r in mentions.raw_mentions(texts, alias_rows, 3).collect()} == {("a", 2, 3, "Vall de Dalt"), ("a", 7, 1, "Lleida")}
 
 
+def test_a_task_hands_on_few_rows_at_once_and_no_foreign_spellings():
+    import pandas as pd
+
+    known = [("Lleida", "Lleida", "lleida", "lleida", 1), ("LLEIDA", "LLEIDA", "lleida", "lleida", 1), ("Vall de Dalt", "Vall de Dalt", "vall de dalt", "vall", 3)]
+    frame = pd.DataFrame({"doc_id": ["a", "b"], "text": ["Lleida " * 50_000 + "Vall de Dalt", None]})
+    pieces = list(mentions._in_pieces(mentions._occurrences(known), ["doc_id", "at", "words", "name", "alias"])(iter([frame])))
+    assert [len(p) for p in pieces] == [20_000, 20_000, 10_001]
+    assert {tuple(r) for p in pieces for r in p[["name", "words"]].values} == {("Lleida", 1), ("Vall de Dalt", 3)}
+
+
+def test_places_are_told_apart_by_their_normal_form(spark):
+    texts = spark.createDataFrame([("a", "Foc a Lleida i a LLEIDA, a Vall de Dalt → Tremp i Lleida")], "doc_id string, text string")
+    known = spark.createDataFrame([("Vall de Dalt",), ("Lleida",), ("LLEIDA",), ("Tremp",)], "name string")
+    names = [r.names for r in mentions.mention_join(texts, known).collect()]
+    rows = spark.createDataFrame([(["b", "B ", "a", "b", "á"],)], "n array<string>")
+    assert [r.f for r in mentions.first_spellings(rows, "f", F.col("n")).collect()] == [["b", "a"]]
+    assert len(names) == 1 and len({n.lower() for n in names[0]}) == len(names[0])
+
+
 def test_versions_classify_texts_once(spark):
     rows = spark.createDataFrame(
         [("p1", "Incendi forestal", "x", "official", "i", "2024-01-01 00:00:00", "u")], "id string, title string, body string, source_type string, incident_id string, published_at string, url string"
