@@ -99,6 +99,20 @@ def test_reconciliation_children_follow(result):
     assert result["evidence"].count() == 2
 
 
+def test_a_refreshed_fire_has_the_union_of_its_perimeters_and_tells_them(spark, result):
+    fires = {r.fire_id: r for r in result["fires"].collect()}
+    assert fires["fire-p1"].effis_perimeter_ids == ["p1", "p2", "p3"] and fires["fire-p1"].geometry.kind == "MULTIPOLYGON"
+    told = {r.id: (r.fire_id, r.canonical_title, r.grouped_perimeter_count) for r in result["perimeter_metadata"].collect()}
+    assert told["p3"] == ("fire-p1", "Incendi #IFArtana - Artana / Onda", 3) and told["q1"][0] == "fire-q1"
+    over = perimeters(spark, [("a", 0.0, 40.0, 0.01, 5.0, "X", "P", "2026-07-25"), ("b", 0.01, 40.0, 0.01, 5.0, "X", "P", "2026-07-25"), ("c", 1.0, 40.0, 0.01, 5.0, "X", "P", "2026-07-25")])
+    told = [("n", "Incendi forestal", [], None, None, "2026-07-26")]
+    pubs = publications(spark, told).withColumns({"incident_id": F.lit("f"), "instructions": F.lit("Confineu-vos"), "es_alert_message": F.lit("m")})
+    fire = R.refresh_fires(over.withColumn("incident_id", F.lit("f")), pubs, detections(spark, [("x", 0.0, 40.0, "2026-07-25")])).first()
+    # Two overlapping squares are one polygon of five corners, closed; the far one stays apart.
+    assert sorted(len(rings[0]) for rings in fire.geometry.parts) == [5, 5] and fire.geometry.parts[0][0][2].x == pytest.approx(0.02)
+    assert (fire.instructions, fire.es_alert_message) == ("Confineu-vos", "m")
+
+
 def test_empty_publication_incidents_are_hidden(spark):
     inc = spark.createDataFrame([("i", True, "", False), ("j", True, "", False), ("k", True, "EFFIS", False), ("l", False, "", False)], "id string, osint boolean, canonical_source string, hidden boolean")
     pubs = spark.createDataFrame([("p", "i")], "id string, incident_id string")
